@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import packing, quality, secrets
 
-_MODULES = [quality]
+_MODULES = [quality, packing, secrets]
 
 
 def queries() -> dict:
