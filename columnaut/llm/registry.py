@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets
+from . import near_dedup, packing, quality, secrets
 
-_MODULES = [quality, packing, secrets]
+_MODULES = [quality, packing, secrets, near_dedup]
 
 
 def queries() -> dict:
