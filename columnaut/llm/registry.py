@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import near_dedup, packing, quality, secrets
+from . import fingerprint, near_dedup, packing, quality, secrets
 
-_MODULES = [quality, packing, secrets, near_dedup]
+_MODULES = [quality, packing, secrets, fingerprint, near_dedup]
 
 
 def queries() -> dict:
