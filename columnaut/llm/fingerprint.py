@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             texts = texts_of(part, "text")
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(map(len, texts), pa.int64(), len(texts)), pa.array(map(fingerprint, texts), pa.string(), len(texts))], names=[id_col, "n_chars", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([fingerprint(t) for t in texts], pa.string())], names=[id_col, "n_chars", "fingerprint"])
 
     return map_batches(source, run, f"`{id_col}` {dict(source.dtypes)['id']}, n_chars bigint, fingerprint string")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, near_dedup, packing, quality, secrets
+from . import fingerprint, mixing, near_dedup, packing, quality, secrets, warc
 
-_MODULES = [quality, packing, secrets, fingerprint, near_dedup]
+_MODULES = [quality, packing, secrets, mixing, fingerprint, warc, near_dedup]
 
 
 def queries() -> dict:

@@ -25,6 +25,8 @@ def test_edited_equals_brute_force(spark):
         got = [tuple(r) for r in P.edited_likeness(docs, parts=parts).collect()]
         assert sorted(got, key=str) == sorted(brute(rows), key=str)
     assert P.edited_likeness(docs.limit(0)).count() == 0
+    own = {(r.doc_id, r.n_chars, r.fingerprint) for r in P.fingerprints(docs).collect()}
+    assert own == {(d, n, f) for d, n, _, f, *_ in brute(rows)}
     one = P.edited_likeness(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).collect()
     assert one[0].near_next == 1 and one[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
