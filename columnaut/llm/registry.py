@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, near_dedup, packing, quality, secrets, warc
+from . import fingerprint, mixing, near_dedup, packing, quality, secrets, toxicity, warc
 
-_MODULES = [quality, packing, secrets, mixing, fingerprint, warc, near_dedup]
+_MODULES = [quality, packing, secrets, toxicity, mixing, fingerprint, warc, near_dedup]
 
 
 def queries() -> dict:
