@@ -1,18 +1,48 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, secret redaction, mixing and packing, one after the other."""
+"""The corpus pipeline: quality rules, near-duplicate removal, secret redaction, mixing and packing, one after the other.
+
+Each stage takes the documents that its predecessor kept and returns a DataFrame, which is written as Parquet and read again for the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from columnaut.llm import mixing, near_dedup, packing, quality, secrets
 from columnaut.llm.common import documents, shared_path
-from columnaut.llm.quality import keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_good(docs)
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the least id."""
+    return near_dedup.keep_one(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark, those in encoded layers with their encoding."""
+    return secrets.redact(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often, and with as many of their words, as the mix takes them."""
+    return mixing.mix_documents(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the training sequences, with a checksum of its token ids."""
+    return packing.placements(docs, packing.tokenizer_path())
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("secret_scans", secret_scans),
+    ("mixing_sources", mixing_sources),
+    ("best_fit_packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,4 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: SQL can express neither the random draws of the mix nor the tokenizer; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
