@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, near_dedup, packing, quality, secrets, toxicity, url_filters, warc
+from . import fingerprint, licenses, mixing, near_dedup, packing, quality, secrets, toxicity, url_filters, warc
 
-_MODULES = [quality, packing, secrets, toxicity, mixing, fingerprint, url_filters, warc, near_dedup]
+_MODULES = [quality, packing, secrets, toxicity, mixing, licenses, fingerprint, url_filters, warc, near_dedup]
 
 
 def queries() -> dict:
