@@ -175,7 +175,8 @@ class Mix:
         covered = self.sized.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
         left, right = F.col("start") - F.col("block") * block, F.col("start") + F.col("size") - F.col("block") * block
         covered = covered.select("s", "block", "id", "start", F.greatest(left, F.lit(0)).alias("lo"), F.least(right, F.lit(block)).alias("hi"))
-        joined = self.slots.join(covered, ["s", "block"]).where("lo < most")
+        # the size of what slots hold is not known beforehand, so a broadcast of it would have no bound
+        joined = self.slots.hint("merge").join(covered, ["s", "block"]).where("lo < most")
         # words [first, last) of the document that this slot of the mix takes
         self.taken = joined.select("shard", "s", "slot", "block", "id", "start", (F.col("block") * block + F.col("lo") - F.col("start")).alias("first"), (F.col("block") * block + F.least("hi", "most") - F.col("start")).alias("last"))
 
