@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import BASE64, HEX, UUID, number_where
-from ..plans.columns import as_text, every, numeric, ref, strings
+from ..plans.columns import as_text, complete_rows, every, numeric, ref, strings
 from ..plans.fused import distinct_counts, frequencies, melted, per_column, quantiles
 from .summaries import most_frequent
 
@@ -57,7 +57,7 @@ def zeros(df: DataFrame, columns: Sequence[str] | None = None, flag_threshold: f
 def near_zero_variance(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 1e-4, listwise: bool = True) -> DataFrame:
     """Columns whose sample variance is at most the threshold: std and variance, rounded to 8 digits. listwise: only rows without a null in any of the columns."""
     names = numeric(df, columns)
-    rows = df.na.drop(subset=names) if listwise and names else df
+    rows = complete_rows(df, names) if listwise else df
     found = per_column(rows, names, {"std": F.stddev_samp, "variance": F.var_samp}, "std double, variance double").where(F.col("variance") <= threshold)
     return found.select("column", F.round("std", 8).alias("std"), F.round("variance", 8).alias("variance"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.columns import as_text, numeric, ref, strings
+from ..plans.columns import as_text, complete_rows, numeric, ref, strings
 from ..plans.fused import distinct_counts, per_column, quantiles
 
 PAIRS_A_PASS = 300
@@ -29,7 +29,9 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     def r(a: Column, b: Column) -> Column:
         both = a.isNotNull() & b.isNotNull()
         x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-        return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
+        # corr itself fails on a constant where ANSI mode is on
+        spread = F.var_pop(x) * F.var_pop(y)
+        return F.when(spread > 0, F.try_divide(F.covar_pop(x, y), F.sqrt(spread)))
 
     parts = []
     for k in range(0, len(pairs), PAIRS_A_PASS):
@@ -85,7 +87,7 @@ def gram(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[list[str]
     names = numeric(df, columns)
     if not names:
         return names, np.zeros((0, 0)), 0
-    rows = df.na.drop(subset=names)
+    rows = complete_rows(df, names)
     k = len(names)
     cells = [(i, j) for i in range(k) for j in range(i, k)]
     g, n = np.zeros((k, k)), 0
@@ -150,13 +152,14 @@ def reliability_flags(df: DataFrame, columns: Sequence[str] | None = None, exact
     """Per numeric column, over rows without a null in any of them: n_rows, low_row_count (< 30), mean, std, skew (bias-corrected), median, mad, extreme_outliers (a value more than three
     median deviations away), high_skew (above 2) and zero_variance."""
     names = numeric(df, columns)
-    rows = df.na.drop(subset=names) if names else df
+    rows = complete_rows(df, names)
     measures = {"n_rows": F.count, "mean": F.avg, "std": F.stddev_samp, "skew": unbiased_skewness, "lo": lambda c: F.min(c).cast("double"), "hi": lambda c: F.max(c).cast("double")}
     base = per_column(rows, names, measures, "n_rows bigint, mean double, std double, skew double, lo double, hi double")
     median = quantiles(rows, names, (0.5,), exact).select("column", F.col("q")[0].alias("median"))
-    one = base.join(F.broadcast(median), "column")
-    wide = one.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("column", F.coalesce("median", F.lit(0.0))))).alias("_m"))  # as many entries as columns
-    away = rows.join(F.broadcast(wide)).select(*(F.abs(ref(c).cast("double") - F.element_at("_m", F.lit(c))).alias(c) for c in names)) if names else rows
+    # one number per column comes to the driver, so that the second pass has them as literals and the first isn't planned again inside it
+    middle = {r.column: r.median for r in median.collect()}
+    one = base.join(F.broadcast(df.sparkSession.createDataFrame(list(middle.items()), "column string, median double")), "column")
+    away = rows.select(*(F.abs(ref(c).cast("double") - F.lit(middle[c])).alias(c) for c in names))
     mad = quantiles(away, names, (0.5,), exact).select("column", F.col("q")[0].alias("mad"))
     found = one.join(F.broadcast(mad), "column")
     far = F.greatest(F.col("hi") - F.col("median"), F.col("median") - F.col("lo"))
@@ -187,7 +190,7 @@ def reliability_warnings(df: DataFrame, columns: Sequence[str] | None = None) ->
 def binning_suggestions(df: DataFrame, columns: Sequence[str] | None = None, skew_threshold: float = 1.0) -> DataFrame:
     """(column, skew, suggestion): log-transform for a skew above the threshold, equal-width for a range above three deviations, else quantile; constants are left out."""
     names = numeric(df, columns)
-    rows = df.na.drop(subset=names) if names else df
+    rows = complete_rows(df, names)
     measures = {"std": F.stddev_samp, "skew": unbiased_skewness, "range": lambda c: F.max(c).cast("double") - F.min(c).cast("double")}
     found = per_column(rows, names, measures, "std double, skew double, range double").where("std >= 1e-8")
     kind = F.when(F.col("skew") > skew_threshold, "log-transform").when(F.col("range") > 3 * F.col("std"), "equal-width").otherwise("quantile")

@@ -53,3 +53,10 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 def storage_types(df: DataFrame) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+
+def complete_rows(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The rows without a null in any of the columns."""
+    for name in names:
+        df = df.where(ref(name).isNotNull())
+    return df
