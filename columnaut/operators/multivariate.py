@@ -131,7 +131,12 @@ def encoding_suggestions(df: DataFrame, columns: Sequence[str] | None = None, ta
             # per value: rows and moments of the target; the correlation then needs the values only, not the rows
             t = ref(target).cast("double")
             per = df.where(ref(c).isNotNull() & t.isNotNull()).groupBy(ref(c).alias("v")).agg(F.count(F.lit(1)).alias("k"), F.sum(t).alias("sy"), F.sum(t * t).alias("syy"))
-            coded = per.withColumn("x", F.row_number().over(Window.orderBy("v")).cast("double") - 1)
+            # the place of a value among all: that of its first letters, plus its own among those that begin alike; no task orders all values
+            per = per.withColumn("head", F.substring("v", 1, 3))
+            before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+            heads = per.groupBy("head").agg(F.count(F.lit(1)).alias("h")).select("head", F.coalesce(F.sum("h").over(before), F.lit(0)).alias("base"))
+            place = F.col("base") + F.row_number().over(Window.partitionBy("head").orderBy("v")) - 1
+            coded = per.join(heads, "head").withColumn("x", place.cast("double"))
             s = coded.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("x")).alias("sx"), F.sum(F.col("k") * F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("sy")).alias("sxy"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"))
             cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
             spread = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2))

@@ -163,4 +163,4 @@ def entropy(df: DataFrame, columns: Sequence[str] | None = None, count_nulls: bo
     names = strings(df, columns) if columns is None else every(df, columns)
     total = F.sum("n").alias("n")
     bits = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")
-    return frequencies(df, names, count_nulls).groupBy("column").agg(total, F.greatest(bits, F.lit(0.0)).alias("entropy")).withColumn("low_n", F.col("n") < 30)
+    return frequencies(df, names, count_nulls, digests=True).groupBy("column").agg(total, F.greatest(bits, F.lit(0.0)).alias("entropy")).withColumn("low_n", F.col("n") < 30)

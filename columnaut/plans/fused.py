@@ -44,9 +44,14 @@ def melted(df: DataFrame, columns: Sequence[str], value: Callable[[str], Column]
     return df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), value(c).cast(kind).alias("value")) for c in columns))))
 
 
-def frequencies(df: DataFrame, columns: Sequence[str], nulls: bool = False) -> DataFrame:
-    """(column, value, n): how often each value occurs."""
-    rows = melted(df, columns)
+def short(value: Column, most: int = 64) -> Column:
+    """A value by which it can be told from others: itself, or a digest of 256 bits if it is long."""
+    return F.when(F.octet_length(value) > most, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
+
+
+def frequencies(df: DataFrame, columns: Sequence[str], nulls: bool = False, digests: bool = False) -> DataFrame:
+    """(column, value, n): how often each value occurs. digests: long values are replaced by digests, which is enough where only the counts matter; long texts then don't travel."""
+    rows = melted(df, columns, (lambda c: short(as_text(df, c))) if digests else None)
     return (rows if nulls else rows.where("value is not null")).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -57,7 +62,7 @@ def names_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], count_nulls: bool = False) -> DataFrame:
     """(column, n_unique). Nulls aren't counted unless asked for."""
-    counted = frequencies(df, columns, count_nulls).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    counted = frequencies(df, columns, count_nulls, digests=True).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
     return names_of(df, columns).join(F.broadcast(counted), "column", "left").select("column", F.coalesce("n_unique", F.lit(0)).alias("n_unique"))
 
 
