@@ -54,6 +54,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that one Arrow batch holds, about, unless the session says otherwise; the default counts rows only, and texts can be long.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+_ABSENT = object()
+
+
+class Memo(dict):
+    """Remembers what `compute` gave for about the last 2 * `most` keys: when a generation is full it becomes the old one, from which keys that are asked for again move on."""
+
+    def __init__(self, compute: Callable, most: int = 75_000):
+        self.compute, self.most, self.old = compute, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key, _ABSENT)
+        if value is _ABSENT:
+            value = self.compute(key)
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -61,10 +91,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
         for batch in batches:
             yield from fn(batch)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about `most` bytes of text (a longer text stands alone); bounds the memory of Python workers."""
     sizes = batch.column(text).nbytes
     if sizes <= most or batch.num_rows < 2:

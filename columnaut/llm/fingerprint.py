@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, slices, texts_of, two_columns
+from .common import bound_batches, documents, map_batches, slices, texts_of, two_columns
 
 BUCKETS = 512
 TRIPLETS = ((2, 5), (3, 7), (1, 6))
@@ -144,6 +144,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     held = None if copy else (bucket, place, text, own)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names=names)
 
+    bound_batches(docs.sparkSession)
     found = rows.mapInArrow(run, "place bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return found.select(F.expr(f"if(place = {_LEAST}L, null, place)").cast(docs.schema[id_col].dataType).alias(id_col), *names[1:])
 

@@ -25,13 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize, slices, texts_of, two_columns
+from .common import Memo, documents, map_batches, slices, texts_of, two_columns
 
 #: Pieces that one group holds, about; and the bins that the search may open in a group beyond its first descent.
 GROUP_ROWS = 32_768
 SEARCH_NODES = 4_000
-#: Words whose ids a worker remembers at a time; beyond that it starts afresh.
-MEMO_WORDS = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -43,20 +41,7 @@ def _encoder(ranks_file: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-class _Memo(dict):
-    """Ids of ' ' + word as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = found = np.array(self.encode(" " + word), "<u4").tobytes()
-        return found
-
-
-_MEMOS: dict[str, _Memo] = {}
+_MEMOS: dict[str, Memo] = {}
 
 
 class Tokenize:
@@ -74,7 +59,8 @@ class Tokenize:
 
     def __call__(self, text: str) -> bytes:
         if self.ranks not in _MEMOS:
-            _MEMOS[self.ranks] = _Memo(_encoder(self.ranks, self.pattern).encode_ordinary)
+            encode = _encoder(self.ranks, self.pattern).encode_ordinary
+            _MEMOS[self.ranks] = Memo(lambda word: np.array(encode(" " + word), "<u4").tobytes())
         memo = _MEMOS[self.ranks]
         if not text:
             return b""
@@ -84,7 +70,7 @@ class Tokenize:
             rest = [x[1:] for x in rest]
         else:
             first, *rest = text.split(" ")
-        return b"".join([np.array(memo.encode(first), "<u4").tobytes() if first else b"", *map(memo.__getitem__, rest)])
+        return b"".join([np.array(_encoder(self.ranks, self.pattern).encode_ordinary(first), "<u4").tobytes() if first else b"", *map(memo.__getitem__, rest)])
 
 
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize, slices, texts_of, two_columns
+from .common import Memo, bound_batches, documents, map_batches, materialize, slices, texts_of, two_columns
 
 _TOKEN = re.compile(r"[^\W_]+")
 _LEET = str.maketrans("013457", "oieast")
@@ -139,16 +139,15 @@ class LexiconAutomaton:
         return found
 
 
-class Matcher(dict):
+class Matcher(Memo):
     """word -> (weight, entry) or None, remembered up to a bound."""
 
     def __init__(self, model: ToxicityModel):
         self.model = model
         self.automaton = LexiconAutomaton([t[:2] for t in model.terms])
+        super().__init__(self.find)
 
-    def __missing__(self, word: str) -> tuple[float, int] | None:
-        if len(self) >= 400_000:
-            self.clear()
+    def find(self, word: str) -> tuple[float, int] | None:
         found = None
         for w in {word, word.translate(_LEET)} if not word.isalpha() else (word,):
             hit = self.automaton.match(w)
@@ -156,7 +155,6 @@ class Matcher(dict):
                 value = self.model.terms[hit[0]][2] * (1.0, 0.5, 0.3)[hit[1]]
                 if found is None or value > found[0]:
                     found = (value, hit[0])
-        self[word] = found
         return found
 
 
@@ -229,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityTraining = ToxicityTraini
     """Learn from the labelled rows given; leave out of `labels` what is to be held out."""
     known = labels.select(F.col(f"`{id_col}`").alias("lid"), F.col(f"`{label_col}`").cast("int").alias("y")).where("lid is not null and y in (0, 1)").groupBy("lid").agg(F.max("y").alias("y"))
     picks = [known.where(f"y = {y}").orderBy(F.xxhash64("lid"), "lid").limit(p.rows_per_class) for y in (0, 1)]
+    bound_batches(docs.sparkSession)
     source = two_columns(docs, id_col, text_col)
     sample = source.join(F.broadcast(picks[0].union(picks[1])), F.col("id") == F.col("lid")).select("y", F.coalesce("text", F.lit("")).alias("text")).distinct()
     sample = materialize(sample, "toxic-sample")
@@ -308,6 +307,7 @@ def _batch(seen: dict[str, list[int]]) -> pa.RecordBatch:
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every row."""
+    bound_batches(docs.sparkSession)
     source = two_columns(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

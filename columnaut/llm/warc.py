@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, slices, small_enough
+from .common import bound_batches, materialize, shared_path, slices, small_enough
 
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 DICTIONARY_MAGIC = struct.pack("<I", 0x184D2A5D)
@@ -250,6 +250,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             system.move(f"{root}/_{name}", f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}"]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
+    bound_batches(pages.sparkSession)
     rows = decided(pages, id_col, url_col, payload_col, min_bytes)
     # the list of the attempts that counted: files of attempts that were lost aren't in it
     return materialize(rows.mapInArrow(write, "path string, records bigint, bytes bigint"), "warc-manifest")
