@@ -215,10 +215,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mix = Mix(docs, id_col=id_col, text_col=text_col, **options)
     # how often each stretch of words is taken: +1 at its begin, -1 at its end
     edges = mix.taken.select("id", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("d")), F.struct(F.col("last").alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    plan = edges.groupBy("id", "e.at").agg(F.sum("e.d").alias("d")).where("d <> 0").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "d"))).alias("_edges")).withColumnRenamed("id", "_id")
+    plan = edges.groupBy("id", "e.at").agg(F.sum("e.d").alias("d")).where("d <> 0").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "d"))).alias("__mix_edges")).withColumnRenamed("id", "__mix_id")
     if not mix.sized.groupBy("id").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates([id_col])
-    whole = docs.join(plan, docs[id_col].eqNullSafe(plan["_id"])).drop("_id")
+    whole = docs.join(plan, docs[id_col].eqNullSafe(plan["__mix_id"])).drop("__mix_id")
     columns = docs.columns
     at, length_at = columns.index(text_col), columns.index(length_col) if length_col in columns else None
 
