@@ -35,8 +35,10 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the MIT license.",
         "SPDX-License-Identifier: MIT",
         "This project is distributed under the terms of the MIT License, see the LICENSE file.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy",
+        "to deal in the Software without restriction",
+        "copyright notice and this permission notice shall be included in all copies or substantial portions",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
