@@ -12,7 +12,7 @@ The last slot of a source takes only as many words of its block as the target le
 max_repeats allows. Results depend on ids, sizes and the seed only, so reruns agree.
 
 Edge cases: a null or empty text has no words and is never taken; a null source is a source of its own, the last; repeated rows are rows of their own; a null
-id sorts first. An empty table gives an empty result; other columns aren't read. Texts are counted whole.
+id sorts first; rows may share an id, each keeps its own text. An empty table gives an empty result; other columns aren't read. Texts are counted whole.
 """
 
 from __future__ import annotations
@@ -101,19 +101,20 @@ def shard_counts(slots: np.ndarray, shard: int, n_shards: int, seed: int) -> tup
 
 class Mix:
     """The parts of a mix as DataFrames: sized (one row per document with its place in its source), sources (on the driver, one entry per source), and taken
-    (slots joined with the documents of their blocks)."""
+    (slots joined with the documents of their blocks). key_col: a binary column that tells rows with the same id apart; sized and taken then bear it as `key`."""
 
-    def __init__(self, docs: DataFrame, weights=lambda i: (5, 2, 1)[i % 3], max_repeats: int = 3, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 100_000):
+    def __init__(self, docs: DataFrame, weights=lambda i: (5, 2, 1)[i % 3], max_repeats: int = 3, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None, max_sources: int = 100_000):
         spark = docs.sparkSession
         self.block, self.id_col = block, id_col
-        source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text"))
+        own_key = ["key"] if key_col else []
+        source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{key_col}`").alias(k) for k in own_key))
         kind = source.schema["id"].dataType
 
         def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             sizes = [len(words_of(t)) for part in slices(batch, "text") for t in texts_of(part, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(sizes, pa.int64())], names=["id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), pa.array(sizes, pa.int64()), *map(batch.column, own_key)], names=["id", "source", "size", *own_key])
 
-        counted = materialize(map_batches(source, count, f"id {kind.simpleString()}, source string, size bigint"), "mix-sizes")
+        counted = materialize(map_batches(source, count, f"id {kind.simpleString()}, source string, size bigint{', key binary' if own_key else ''}"), "mix-sizes")
         rows = counted.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
         if len(rows) > max_sources:
             raise ValueError(f"more than {max_sources} sources; raise max_sources if the driver can hold them")
@@ -127,11 +128,11 @@ class Mix:
         n_buckets = max(1, -(-sum(r.n for r in rows) // BUCKET_ROWS))
         at = spark.createDataFrame([(k, s) for k, s in enumerate(self.sources)], "s int, source string")
         keyed = counted.join(F.broadcast(at), counted["source"].eqNullSafe(at["source"])).drop("source")
-        keyed = keyed.withColumn("b", F.pmod(F.xxhash64(F.col("id").cast("string"), "size"), F.lit(n_buckets)).cast("int"))
+        keyed = keyed.withColumn("b", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), *map(F.hex, own_key)), "size"), F.lit(n_buckets)).cast("int"))
         totals = keyed.groupBy("s", "b").agg(F.sum("size").alias("t"))
         base = totals.withColumn("base", F.sum("t").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).select("s", "b", F.coalesce("base", F.lit(0)).alias("base"))
-        inside = Window.partitionBy("s", "b").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
-        self.sized = materialize(keyed.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(base) if n_buckets * len(rows) <= 100_000 else base, ["s", "b"]).select("id", "s", "size", (F.col("base") + F.col("own")).alias("start")), "mix-places")
+        inside = Window.partitionBy("s", "b").orderBy("id", "size", *own_key).rowsBetween(Window.unboundedPreceding, -1)
+        self.sized = materialize(keyed.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(base) if n_buckets * len(rows) <= 100_000 else base, ["s", "b"]).select("id", *own_key, "s", "size", (F.col("base") + F.col("own")).alias("start")), "mix-places")
 
         # slots: as many blocks as the target needs, the last perhaps in part; passes over a source are whole but the last
         sizes, goal = np.array(self.sizes, np.int64), np.array([round(t) for t in self.targets], np.int64)
@@ -174,11 +175,11 @@ class Mix:
         self.slots = map_batches(spark.range(0, n_shards if total else 0, 1, tasks), shards, "shard bigint, s int, slot bigint, block bigint, most bigint")
         covered = self.sized.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
         left, right = F.col("start") - F.col("block") * block, F.col("start") + F.col("size") - F.col("block") * block
-        covered = covered.select("s", "block", "id", "start", F.greatest(left, F.lit(0)).alias("lo"), F.least(right, F.lit(block)).alias("hi"))
+        covered = covered.select("s", "block", "id", *own_key, "start", F.greatest(left, F.lit(0)).alias("lo"), F.least(right, F.lit(block)).alias("hi"))
         # the size of what slots hold is not known beforehand, so a broadcast of it would have no bound
         joined = self.slots.hint("merge").join(covered, ["s", "block"]).where("lo < most")
         # words [first, last) of the document that this slot of the mix takes
-        self.taken = joined.select("shard", "s", "slot", "block", "id", "start", (F.col("block") * block + F.col("lo") - F.col("start")).alias("first"), (F.col("block") * block + F.least("hi", "most") - F.col("start")).alias("last"))
+        self.taken = joined.select("shard", "s", "slot", "block", "id", *own_key, "start", (F.col("block") * block + F.col("lo") - F.col("start")).alias("first"), (F.col("block") * block + F.least("hi", "most") - F.col("start")).alias("last"))
 
     def digest(self) -> DataFrame:
         """One row per document: size, source_size, target of its source, and the words of it that the mix takes."""
@@ -211,15 +212,17 @@ def _inverse(place: int, n: int, key: np.ndarray) -> int:
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """The mixed corpus with the columns of docs. A document that the mix takes k times over comes k times; where it takes only some of a document's
-    words, rows hold the runs of words taken. Texts that are taken whole stay as they are; length_col follows the text. Of rows with the same id one bears the words of all."""
-    mix = Mix(docs, id_col=id_col, text_col=text_col, **options)
+    words, rows hold the runs of words taken. Texts that are taken whole stay as they are; length_col follows the text. Rows are told apart by a digest of all their columns, so ids may be null or repeated; of rows that are alike in every column one bears the words of all."""
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)))
+    docs = docs.withColumn("__mix_key", F.unhex(F.sha2(F.concat(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256), others), 256)))
+    mix = Mix(docs, id_col=id_col, text_col=text_col, key_col="__mix_key", **options)
     # how often each stretch of words is taken: +1 at its begin, -1 at its end
-    edges = mix.taken.select("id", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("d")), F.struct(F.col("last").alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    plan = edges.groupBy("id", "e.at").agg(F.sum("e.d").alias("d")).where("d <> 0").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "d"))).alias("__mix_edges")).withColumnRenamed("id", "__mix_id")
-    if not mix.sized.groupBy("id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates([id_col])
-    whole = docs.join(plan, docs[id_col].eqNullSafe(plan["__mix_id"])).drop("__mix_id")
-    columns = docs.columns
+    edges = mix.taken.select("key", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("d")), F.struct(F.col("last").alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    plan = edges.groupBy("key", "e.at").agg(F.sum("e.d").alias("d")).where("d <> 0").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "d"))).alias("__mix_edges")).withColumnRenamed("key", "__mix_key")
+    columns, fields = docs.columns[:-1], docs.schema.fields[:-1]
+    if not mix.sized.groupBy("key").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["__mix_key"])
+    whole = docs.join(plan, "__mix_key").drop("__mix_key")
     at, length_at = columns.index(text_col), columns.index(length_col) if length_col in columns else None
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -249,7 +252,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 arrays[length_at] = pa.array([len(x) for x in out], arrays[length_at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return map_batches(whole, run, T.StructType(docs.schema.fields))
+    return map_batches(whole, run, T.StructType(fields))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

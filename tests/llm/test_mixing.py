@@ -92,6 +92,21 @@ def test_mix(spark, block):
     assert {k: v for k, v in per.items() if v} == dict(words)
 
 
+def test_rows_that_share_an_id_keep_their_texts(spark):
+    data = [(None if i % 2 else 5, " ".join(f"v{i}_{k}" for k in range(40)), "a", 0) for i in range(30)]
+    data += [(9, "same text twice", "a", 0), (9, "same text twice", "a", 1), (9, "same text twice", "a", 1)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    mixed = M.mix_documents(docs, length_col=None, block=16, shard_slots=8).collect()
+    got, want = collections.Counter(), collections.Counter()
+    for r in mixed:
+        got.update((r.doc_id, r.n_chars, w) for w in r.text.split())
+    for i, t, _, n in data:
+        want.update((i, n, w) for w in t.split())
+    assert got == want  # one source alone is taken once, whole
+    again = M.mix_documents(docs.repartition(3), length_col=None, block=16, shard_slots=8).collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixed))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert M.Mix(docs).digest().count() == 0 and M.mix_documents(docs).count() == 0
