@@ -1,7 +1,9 @@
 """Secret scan with a recursive decoding worklist.
 
 Each text is scanned for three kinds of secrets. Then a worklist unwraps what the text hides: percent escapes of URLs, Unicode escapes,
-runs of base64, and compressed data inside them (gzip, zlib, bzip2, xz, zstd). Every layer is scanned again and goes back on the
+runs of base64, wrapped over lines or not, and compressed data inside them (gzip, zlib, bzip2, xz, zstd). A run is decoded at every alignment, so it doesn't
+matter what stands before the data; of decoded bytes the printable ASCII stretches are layers (secrets and encodings are ASCII), whatever lies between
+them, and compressed data is looked for at every byte. Every layer is scanned again and goes back on the
 worklist until nothing new appears; layers seen before (by digest and place) end the chain, which also stops archives that contain
 themselves. Every layer keeps, for each of its characters, the span of the original text that it came from, so a finding at any
 depth is reported where its outermost encoding stands.
@@ -17,7 +19,6 @@ guard against archives that expand without end); what came until there is scanne
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -40,6 +41,13 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run that goes on over line ends (or \\n in a string literal); every further line holds nothing else.
+_WRAPPED = re.compile(r"""[A-Za-z0-9+/_-]{16,}+(?:[ \t]*(?:\r?\n|\r|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/_-]++(?=={0,2}[ \t]*(?:[\r\n\\"'`<>)\],;}]|\Z)))++={0,2}""")
+_LETTERS = re.compile(r"(?:(?<=\\)[rn]|[^A-Za-z0-9+/_-])+")
+#: No secret and no encoding of one is shorter.
+_STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
+_ZLIB = b"|".join(b"\\x%02x[%s]" % (a, b"".join(b"\\x%02x" % b for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32)) for a in range(0x08, 0x80, 16))
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|" + _ZLIB, re.DOTALL)
 #: Bytes that base64 and hexadecimal runs are made of.
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=")] = True
@@ -88,14 +96,6 @@ def _expand(blob: bytes, most: int) -> bytes | None:
     return None
 
 
-def _printable(blob: bytes) -> str | None:
-    try:
-        text = blob.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
-
-
 Layer = tuple[str, np.ndarray, np.ndarray]  # text; start and end in the original text of each character
 
 
@@ -145,35 +145,49 @@ def unwrap(layer: Layer, most: int) -> Iterator[Layer]:
             new = _replaced(layer, pattern, decode)
             if new:
                 yield new
-    for m in _BASE64.finditer(text):
-        for skip in range(4):  # what stands before the data may be of the same letters
-            first = m.start() + skip
-            body = m.group()[skip:].rstrip("=").replace("-", "+").replace("_", "/")
+    for letters, places, last in _runs(text):
+        for skip in range(4):
+            body = letters[skip:]
             if len(body) < 12:
                 break
             if len(body) % 4 == 1:
                 body = body[:-1]
-            try:
-                blob = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-            except (binascii.Error, ValueError):
-                continue
-            inner, known = _expand(blob, most), set()
-            if inner is not None:
-                while (more := _expand(inner, most)) is not None and (key := hashlib.sha256(more).digest()) not in known:
-                    known.add(key)
-                    inner = more
-                decoded = _printable(inner)
-                if decoded:
-                    yield decoded, np.full(len(decoded), start[first]), np.full(len(decoded), end[m.end() - 1])
-                    break
-                continue
-            decoded = _printable(blob)
-            if decoded:
-                widths = np.concatenate([[0], np.cumsum([len(c.encode()) for c in decoded])])
-                a = first + widths[:-1] * 4 // 3
-                b = np.minimum(first + (widths[1:] * 4 + 2) // 3, m.end())
-                yield decoded, start[a], end[b - 1]
-                break
+            blob = base64.b64decode(body + "=" * (-len(body) % 4))
+            for m in _STRETCH.finditer(blob):
+                at = np.arange(m.start(), m.end() + 1)
+                a = places[skip + at[:-1] * 4 // 3]
+                b = places[np.minimum(skip + (at[1:] * 4 + 2) // 3, len(letters)) - 1]
+                yield m.group().decode("ascii"), start[a], end[b]
+            for place, inner in _compressed(blob, most):
+                first = start[places[skip + place * 4 // 3]]
+                for m in _STRETCH.finditer(inner):
+                    n = m.end() - m.start()
+                    yield m.group().decode("ascii"), np.broadcast_to(first, n), np.broadcast_to(end[last - 1], n)
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
+    """Base64 runs: their letters, the places of these in the text, and the end of the run. Wrapped runs come line by line, too."""
+    for m in _BASE64.finditer(text):
+        letters = m.group().rstrip("=")
+        yield _standard(letters), np.arange(m.start(), m.start() + len(letters)), m.end()
+    for m in _WRAPPED.finditer(text):
+        gaps = [(m.start(), m.start()), *(g.span() for g in _LETTERS.finditer(text, m.start(), m.end())), (m.end(), m.end())]
+        parts = [(x[1], y[0]) for x, y in zip(gaps, gaps[1:]) if x[1] < y[0]]
+        yield _standard("".join(text[a:b] for a, b in parts)), np.concatenate([np.arange(a, b) for a, b in parts]), m.end()
+
+
+def _standard(letters: str) -> str:
+    return letters.replace("-", "+").replace("_", "/")
+
+
+def _compressed(blob: bytes, most: int) -> Iterator[tuple[int, bytes]]:
+    """Place and contents of compressed data anywhere in a blob, and of what is compressed in that."""
+    for m in _MAGIC.finditer(blob):
+        inner, known = _expand(blob[m.start() :], most), set()
+        while inner and (key := hashlib.sha256(inner).digest()) not in known:
+            known.add(key)
+            yield m.start(), inner
+            inner = _expand(inner, most)
 
 
 def scan_text(text: str, most: int = MAX_LAYER_BYTES) -> list[tuple[int, int, int]]:
@@ -197,6 +211,10 @@ def scan_text(text: str, most: int = MAX_LAYER_BYTES) -> list[tuple[int, int, in
                 s, e = int(inner[1][a:b].min()), int(inner[2][a:b].max())
                 if not any(x <= s and e <= y for x, y, _ in base):  # what stands in the open was found already
                     found.add((s, e, kind + 3))
+    # a secret over a line end is found in its own line as well, so far as that goes
+    wide = [f for f in found if f[2] > 2 and ("\n" in text[f[0] : f[1]] or "\\n" in text[f[0] : f[1]])]
+    if wide:
+        found = {f for f in found if not any(f != g and f[2] == g[2] and g[0] <= f[0] and f[1] <= g[1] and (f[0] == g[0] or f[2] == 5) for g in wide)}
     return sorted(found, key=lambda f: (f[0], f[2], f[1]))
 
 

@@ -1,8 +1,10 @@
 import base64
 import gzip
 import hashlib
+import io
 import random
 import re
+import tarfile
 import urllib.parse
 import zlib
 
@@ -62,6 +64,39 @@ def test_nested_layers_map_to_the_outermost_span(name, hidden):
     assert KEY not in S.redact_text(text) and S.redact_text(text).endswith(" end")
 
 
+def hidden_otherwise():
+    rng = random.Random(8)
+    b64 = lambda x: base64.b64encode(x).decode()
+    noise = bytes(rng.randrange(256) for _ in range(400))
+    for prefix in ("/static/data/", "/a/bc/", "x-y_z+", "abcde"):
+        yield f"after {prefix}", prefix + b64(f"key {KEY}".encode())
+        yield f"gzip after {prefix}", prefix + b64(gzip.compress(KEY.encode()))
+    for k in range(40, 60, 3):
+        yield f"wrapped, secret at {k}", base64.encodebytes(b"." * k + KEY.encode() + b"." * 80).decode().strip()
+    yield "wrapped with CRLF", base64.encodebytes(b"." * 50 + KEY.encode() + b"." * 80).decode().strip().replace("\n", "\r\n")
+    yield "wrapped in a literal", '"' + base64.encodebytes(b"." * 50 + KEY.encode() + b"." * 80).decode().strip().replace("\n", "\\n") + '"'
+    yield "wrapped gzip", base64.encodebytes(gzip.compress(noise + b" " + KEY.encode() + b" " + noise)).decode().strip()
+    yield "binary", b64(noise + b" " + KEY.encode() + b"\0" + noise)
+    archive = io.BytesIO()
+    with tarfile.open(fileobj=archive, mode="w:gz") as tar:
+        info = tarfile.TarInfo("env")
+        info.size = len(KEY)
+        tar.addfile(info, io.BytesIO(KEY.encode()))
+    yield "tar.gz", b64(archive.getvalue())
+
+
+@pytest.mark.parametrize("name,hidden", list(hidden_otherwise()))
+def test_prefixes_wraps_and_binary_parts(name, hidden):
+    text = f"Größe {hidden}\nend"
+    found = [f for f in S.scan_text(text) if f[2] == 4]
+    assert len(found) == 1, (name, found)
+    a, b, _ = found[0]
+    at = text.index(hidden)
+    assert at <= a < b <= at + len(hidden)
+    left = S.redact_text(text)
+    assert left.endswith("\nend") and not S.scan_text(left)
+
+
 def test_cycles_end():
     assert S.scan_text("%2541" * 50 + " " + base64.b64encode(b"a" * 400).decode()) is not None
 
