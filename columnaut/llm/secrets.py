@@ -12,8 +12,9 @@ Kinds of findings: assign, access and hex in the text itself; decoded_assign, de
 Spans count code points, the end is exclusive. The scan is done inside the row, without a shuffle.
 
 Edge cases: null and empty texts have no findings; repeated rows get the same row each; an empty table gives an empty result; other columns
-aren't read by `scan` and pass through `redact` untouched. Texts are scanned whole. Decompression stops at `max_layer_bytes` for one layer (a
-guard against archives that expand without end); what came until there is scanned.
+aren't read by `scan` and pass through `redact` untouched. Texts are scanned whole, and so is compressed
+data: member after member, in overlapping windows, so that memory is bounded and nothing is cut. An overlap holds the encoded run that the window ends in, up
+to `max_layer_bytes`; a longer run inside compressed data is scanned in parts.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from .common import documents, map_batches, slices, texts_of, two_columns
 
 KINDS = ("assign", "access", "hex", "decoded_assign", "decoded_access", "decoded_hex")
 MAX_LAYER_BYTES = 16 << 20
+WINDOW_BYTES, OVERLAP_BYTES, PIECE_BYTES = 1 << 20, 64 << 10, 64 << 10
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -46,11 +48,14 @@ _WRAPPED = re.compile(r"""[A-Za-z0-9+/_-]{16,}+(?:[ \t]*(?:\r?\n|\r|\\r\\n|\\n)[
 _LETTERS = re.compile(r"(?:(?<=\\)[rn]|[^A-Za-z0-9+/_-])+")
 #: No secret and no encoding of one is shorter.
 _STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
+_PRINTABLE = bytes(b if 32 <= b < 127 or b in b"\t\n\r" else 0 for b in range(256))
 _ZLIB = b"|".join(b"\\x%02x[%s]" % (a, b"".join(b"\\x%02x" % b for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32)) for a in range(0x08, 0x80, 16))
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|" + _ZLIB, re.DOTALL)
 #: Bytes that base64 and hexadecimal runs are made of.
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=")] = True
+#: Bytes of wrapped and escaped runs.
+_RUN_BYTES = bytes(b for b in range(128) if _RUN[b]) + b"\r\n\t%\\&#;{}"
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 
@@ -76,24 +81,89 @@ def suspicious(text: str) -> bool:
     return any(k in low for k in _KEYWORDS)
 
 
-def _expand(blob: bytes, most: int) -> bytes | None:
-    """Decompressed data, as far as `most` bytes; None if it isn't compressed."""
-    try:
-        if blob[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(blob, most)
-        if blob[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(blob, most)
-        if blob[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(blob, most)
-        if blob[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().stream_reader(blob).read(most)
-        if len(blob) > 2 and blob[0] & 15 == 8 and (blob[0] << 8 | blob[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(blob, most)
-    except Exception:  # damaged or foreign data: not a layer
-        return None
-    return None
+class _Stream:
+    """Bytes that come in chunks, held as far as they are needed; base is the place of the first byte held."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held, self.base, self.done = chunks, bytearray(), 0, False
+
+    def grow(self) -> bool:
+        chunk = next(self.chunks, None)
+        self.done = chunk is None
+        self.held += chunk or b""
+        return not self.done
+
+    def pieces(self, at: int, size: int) -> Iterator[bytes]:
+        while True:
+            piece = bytes(self.held[at - self.base : at - self.base + size])
+            if piece:
+                at += len(piece)
+                yield piece
+            elif self.done or not self.grow():
+                return
+
+
+class _Member:
+    """One compressed member at a place of a stream. chunks() gives what can be read of it; then end is the place behind it, or None if it is damaged or cut off."""
+
+    def __init__(self, stream: _Stream, at: int):
+        self.stream, self.at, self.end = stream, at, None
+
+    def chunks(self) -> Iterator[bytes]:
+        head = bytes(self.stream.held[self.at - self.stream.base :][:6])
+        size, at = PIECE_BYTES, self.at
+        try:
+            if head[:2] == b"\x1f\x8b":
+                d = zlib.decompressobj(31)
+            elif head[:3] == b"BZh":
+                d = bz2.BZ2Decompressor()
+            elif head == b"\xfd7zXZ\x00":
+                d = lzma.LZMADecompressor()
+            elif head[:4] == b"\x28\xb5\x2f\xfd":
+                import zstandard
+
+                d, size = zstandard.ZstdDecompressor().decompressobj(), 64  # gives all output at once, 128 KiB for 4 bytes at most
+            else:
+                d = zlib.decompressobj()
+            for piece in self.stream.pieces(at, size):
+                at += len(piece)
+                while True:
+                    out = d.decompress(piece) if size == 64 else d.decompress(piece, PIECE_BYTES)
+                    if out:
+                        yield out
+                    if d.eof:
+                        self.end = at - len(d.unused_data)
+                        return
+                    piece = getattr(d, "unconsumed_tail", b"")
+                    if size == 64 or not (piece or len(out) == PIECE_BYTES and getattr(d, "needs_input", None) is not True):
+                        break
+        except Exception:  # damaged or foreign data: what came until there is scanned
+            return
+
+
+def _contents(chunks: Iterator[bytes], most: int, above: frozenset[bytes] = frozenset()) -> Iterator[tuple[int | None, bytes]]:
+    """Windows of a stream (place None) and of all that is compressed in it (place of the outermost member). above: heads of the members around, which stops
+    archives that contain themselves."""
+    stream, past, want = _Stream(chunks), 0, WINDOW_BYTES
+    while not stream.done:
+        while len(stream.held) < want and stream.grow():
+            pass
+        window, base = bytes(stream.held), stream.base
+        yield None, window
+        for place in [base + m.start() for m in _MAGIC.finditer(window)]:
+            head = hashlib.sha256(window[place - base : place - base + PIECE_BYTES]).digest()
+            if place < past or head in above:
+                continue
+            member = _Member(stream, place)
+            for _, inner in _contents(member.chunks(), most, above | {head}):
+                yield place, inner
+            past = member.end or past
+        tail = len(window) - len(window.rstrip(_RUN_BYTES))
+        keep = tail if OVERLAP_BYTES < tail <= most else OVERLAP_BYTES
+        drop = max(0, len(window) - keep)
+        del stream.held[:drop]
+        stream.base += drop
+        want = 2 * len(stream.held) + WINDOW_BYTES
 
 
 Layer = tuple[str, np.ndarray, np.ndarray]  # text; start and end in the original text of each character
@@ -153,16 +223,17 @@ def unwrap(layer: Layer, most: int) -> Iterator[Layer]:
             if len(body) % 4 == 1:
                 body = body[:-1]
             blob = base64.b64decode(body + "=" * (-len(body) % 4))
-            for m in _STRETCH.finditer(blob):
-                at = np.arange(m.start(), m.end() + 1)
+            if _STRETCH.search(blob):
+                at = np.arange(len(blob) + 1)
                 a = places[skip + at[:-1] * 4 // 3]
                 b = places[np.minimum(skip + (at[1:] * 4 + 2) // 3, len(letters)) - 1]
-                yield m.group().decode("ascii"), start[a], end[b]
-            for place, inner in _compressed(blob, most):
+                yield _ascii(blob), start[a], end[b]
+            for place, inner in _contents(iter([blob]), most):
+                if place is None:
+                    continue
                 first = start[places[skip + place * 4 // 3]]
-                for m in _STRETCH.finditer(inner):
-                    n = m.end() - m.start()
-                    yield m.group().decode("ascii"), np.broadcast_to(first, n), np.broadcast_to(end[last - 1], n)
+                if _STRETCH.search(inner):
+                    yield _ascii(inner), np.broadcast_to(first, len(inner)), np.broadcast_to(end[last - 1], len(inner))
 
 
 def _runs(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
@@ -176,18 +247,13 @@ def _runs(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
         yield _standard("".join(text[a:b] for a, b in parts)), np.concatenate([np.arange(a, b) for a, b in parts]), m.end()
 
 
-def _standard(letters: str) -> str:
-    return letters.replace("-", "+").replace("_", "/")
+def _ascii(blob: bytes) -> str:
+    """Bytes as text of the same length; what isn't printable ASCII becomes NUL, which no pattern crosses."""
+    return blob.translate(_PRINTABLE).decode("ascii")
 
 
-def _compressed(blob: bytes, most: int) -> Iterator[tuple[int, bytes]]:
-    """Place and contents of compressed data anywhere in a blob, and of what is compressed in that."""
-    for m in _MAGIC.finditer(blob):
-        inner, known = _expand(blob[m.start() :], most), set()
-        while inner and (key := hashlib.sha256(inner).digest()) not in known:
-            known.add(key)
-            yield m.start(), inner
-            inner = _expand(inner, most)
+def _standard(letters: str) -> str:
+    return letters.replace("-", "+").replace("_", "/")
 
 
 def scan_text(text: str, most: int = MAX_LAYER_BYTES) -> list[tuple[int, int, int]]:
@@ -197,20 +263,22 @@ def scan_text(text: str, most: int = MAX_LAYER_BYTES) -> list[tuple[int, int, in
     base = find(text)
     found = set(base)
     places = np.arange(len(text), dtype=np.int64)
-    work: list[Layer] = [(text, places, places + 1)]
     seen = {hashlib.sha256(text.encode(errors="surrogatepass")).digest()}
+    work = [unwrap((text, places, places + 1), most)]  # one layer of each depth is held at a time
     while work:
-        layer = work.pop()
-        for inner in unwrap(layer, most):
-            key = hashlib.sha256(inner[0].encode(errors="surrogatepass") + inner[1][:1].tobytes()).digest()
-            if key in seen:
-                continue
-            seen.add(key)
-            work.append(inner)
-            for a, b, kind in find(inner[0]):
-                s, e = int(inner[1][a:b].min()), int(inner[2][a:b].max())
-                if not any(x <= s and e <= y for x, y, _ in base):  # what stands in the open was found already
-                    found.add((s, e, kind + 3))
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        key = hashlib.sha256(inner[0].encode(errors="surrogatepass") + inner[1][:1].tobytes()).digest()
+        if key in seen or not suspicious(inner[0]):
+            continue
+        seen.add(key)
+        work.append(unwrap(inner, most))
+        for a, b, kind in find(inner[0]):
+            s, e = int(inner[1][a:b].min()), int(inner[2][a:b].max())
+            if not any(x <= s and e <= y for x, y, _ in base):  # what stands in the open was found already
+                found.add((s, e, kind + 3))
     # a secret over a line end is found in its own line as well, so far as that goes
     wide = [f for f in found if f[2] > 2 and ("\n" in text[f[0] : f[1]] or "\\n" in text[f[0] : f[1]])]
     if wide:

@@ -1,7 +1,9 @@
 import base64
+import bz2
 import gzip
 import hashlib
 import io
+import lzma
 import random
 import re
 import tarfile
@@ -97,6 +99,33 @@ def test_prefixes_wraps_and_binary_parts(name, hidden):
     assert left.endswith("\nend") and not S.scan_text(left)
 
 
+PACKERS = {"gzip": gzip.compress, "zlib": zlib.compress, "bzip2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}
+
+
+@pytest.mark.parametrize("name", PACKERS)
+def test_all_members_of_a_stream(name):
+    pack = PACKERS[name]
+    text = base64.b64encode(pack(b"first " * 9) + pack(b"second " * 9) + pack(b"third " * 9 + KEY.encode() + b" end")).decode()
+    last = S.scan_text(f"x {text} y")[0]  # from where the third member begins, or the key where it stands plain in it
+    assert last[1:] == (2 + len(text), 4) and last[0] > 2
+    assert not S.scan_text(S.redact_text(f"x {text} y"))
+
+
+@pytest.mark.parametrize("name", ["gzip", "zstd"])
+def test_large_layers_are_not_cut(name):
+    line = "é is no secret, and this line is long enough to fill a layer soon\n"
+    long = (line * (17_500_000 // len(line.encode()))).encode() + KEY.encode() + b"\n"
+    text = base64.b64encode(PACKERS[name](long)).decode()
+    assert (0, len(text), 4) in S.scan_text(text)
+
+
+def test_secrets_at_window_ends():
+    for shift in (-19, -8, -1):
+        data = b". " * ((S.WINDOW_BYTES + shift) // 2) + b"." * (shift % 2) + KEY.encode() + b" " * 50 + b". " * 40_000
+        text = base64.b64encode(zlib.compress(data, 1)).decode()
+        assert S.scan_text(text) == [(0, len(text), 4)]
+
+
 def test_cycles_end():
     assert S.scan_text("%2541" * 50 + " " + base64.b64encode(b"a" * 400).decode()) is not None
 
