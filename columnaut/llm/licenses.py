@@ -135,6 +135,9 @@ FOREIGN = [
     "Distributed under the terms of the {0} Open License v{1}.",
 ]
 NONE = "none"
+#: Words that speak of licences however often a corpus has them: licen*, copyright, SPDX and the names of families.
+_ALWAYS = re.compile(r"(?:\S*licen[cs]|copyright|spdx|apache|mozilla|mpl|[al]?gpl|bsd|cc0|cc-by)|(?:mit|gnu|isc|cc|affero|unlicense)$")
+_NOTICE = frozenset(["rights", "reserved", "released"])
 
 
 @dataclass(frozen=True)
@@ -197,11 +200,10 @@ def train(paragraphs: list[str], p: LicenseTraining = LicenseTraining(), templat
     """Train on the templates against ordinary paragraphs. The same input gives the same model."""
     rng = random.Random(p.seed)
     licence = {w for texts in templates.values() for t in texts for w in tokens(t)}
-    often = Counter(w for t in [*paragraphs, *PROSE] for w in set(tokens(t)))
-    n = max(1, len(paragraphs) + len(PROSE))
-    words = frozenset(w for w in licence if often[w] <= 0.02 * n)
     # paragraphs of the corpus that hold a licence of their own teach nothing about ordinary ones
-    ordinary = PROSE + [t for t in paragraphs if len({"licensed", "license", "copyright", "rights"} & set(tokens(t))) == 0]
+    ordinary = PROSE + [t for t in paragraphs if not any(w == "rights" or _ALWAYS.match(w) for w in tokens(t))]
+    often = Counter(w for t in ordinary for w in set(tokens(t)))
+    words = frozenset(w for w in licence if often[w] <= 0.02 * len(ordinary) or _ALWAYS.match(w) or w in _NOTICE)
     prose = [t.split() or ["text"] for t in ordinary]
     families = [NONE, "unknown", *sorted(templates)]
     rows = [(_varied(t, rng, prose), families.index(f)) for f, texts in sorted(templates.items()) for t in texts for _ in range(p.copies)]

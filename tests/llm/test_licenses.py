@@ -44,6 +44,19 @@ def test_spans_and_rows(spark, model):
     assert L.scan(docs.limit(0), model).count() == 0 and L.sample_paragraphs(docs.limit(0)) == []
 
 
+def test_corpus_full_of_licences():
+    rng = random.Random(7)
+    vocabulary = ["river", "stone", "the", "of", "and", "walks", "under", "light", "house", "green", "any", "to"]
+    lines = [" ".join(rng.choice(vocabulary) for _ in range(25)) for _ in range(300)]
+    lines += [f"Copyright (c) 2019 {rng.choice(vocabulary).title()} {k}. Released under the MIT License. All rights reserved." for k in range(300)]
+    m = L.train(lines + [f"SPDX-License-Identifier: MIT {k}" for k in range(100)])
+    assert {"copyright", "rights", "reserved", "license", "licensed", "released", "mit", "spdx-license-identifier"} <= m.words
+    assert L.scan_text("river\nReleased under the MIT License.\nstone", m) == [(6, 37, "mit")]
+    assert L.scan_text("All rights reserved.", m) == [(0, 20, "proprietary")]
+    assert L.scan_text("Licensed under the Apache License, Version 2.0.", m) == [(0, 47, "apache-2.0")]
+    assert sum(L.classify(t, m)[0] == "none" for t in L.PROSE) >= len(L.PROSE) - 1
+
+
 def test_query_finds_every_licence_line(spark):
     sf = "/root/testdata/sf0.001"
     lines = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "All rights reserved.": "proprietary", "This work is licensed under the GNU General Public License, version 3.": "gpl"}
