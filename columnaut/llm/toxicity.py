@@ -3,7 +3,8 @@
 Training (`fit`) takes a bounded sample of labelled rows: words and word beginnings are counted in toxic texts by the number of different
 contexts that they stand in (so that copies of one text count once) and held against the clean texts; the best make up the lexicon. Its entries form a
 trie, and the Levenshtein automata of all entries are run on it at once: a state is a set of (trie node, edits so far), made deterministic as words are read, so a
-misspelled term costs one table step per letter. Words that clean training texts hold aren't taken for misspellings.
+misspelled term costs one table step per letter. A beginning stands for the words as they are; the telling words that it covers stay in the lexicon beside it,
+so that their misspellings are found. Entries of under 5 letters allow no edits. Words that clean training texts hold aren't taken for misspellings.
 
 Each match is weighed by its window: quotation marks around it and words of reporting lower it, direct address raises it. Sums and density of the weighed
 matches enter a logistic regression. Scores depend on the text alone. Scoring needs no shuffle; the model is bounded by `max_terms` and `max_exceptions`.
@@ -36,7 +37,8 @@ _WINDOW = 80
 
 @dataclass(frozen=True)
 class ToxicityTraining:
-    """rows_per_class: labelled rows of each class to learn from, at most. max_candidates, max_terms, max_exceptions: bounds of what the driver holds.
+    """rows_per_class: labelled rows of each class to learn from, at most. max_candidates, max_terms, max_exceptions: bounds of what the driver holds
+    (words that a beginning covers come on top, max_terms at most).
     min_contexts: different contexts that a term needs in toxic texts. min_ratio: how much likelier it must be in toxic than in clean texts."""
 
     rows_per_class: int = 6000
@@ -134,7 +136,7 @@ class LexiconAutomaton:
             if begun is None:
                 begun = begins[state]
         found = self.accept[state]
-        if begun is not None and (found is None or found[1] > 0):
+        if begun is not None:
             return begun, 0
         return found
 
@@ -268,13 +270,16 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityTraining = ToxicityTraini
     n_of = {r.term: r.n for r in rows}
     good = {t for t, o in odds.items() if o >= p.min_ratio and clean.get(t, 0) * 20 <= n_of[t]}
     begins = {t for t in good if t.endswith("*")}
-    # of beginnings that say the same the longest; words that a beginning covers aren't needed
+    # of beginnings that say the same the longest
     begins = {t for t in begins if not any(u != t and u.startswith(t[:-1]) and n_of[u] >= 0.95 * n_of[t] for u in begins)}
     begins = {t for t in begins if not any(u != t and t.startswith(u[:-1]) for u in begins)}
     whole = {t for t in good if not t.endswith("*") and not any(t.startswith(u[:-1]) for u in begins)}
     chosen = sorted(begins | whole, key=lambda t: (-odds[t], t))[: p.max_terms]
     top = max((np.log(odds[t]) for t in chosen), default=1.0)
-    model = ToxicityModel([(t.rstrip("*"), t.endswith("*"), float(np.log(odds[t]) / top)) for t in chosen])
+    # words that a chosen beginning covers are needed for their misspellings
+    covered = {t for t in good if not t.endswith("*") and edits_allowed(t, False) and any(u.endswith("*") and t.startswith(u[:-1]) for u in chosen)}
+    chosen += sorted(covered, key=lambda t: (-n_of[t], t))[: p.max_terms]
+    model = ToxicityModel([(t.rstrip("*"), t.endswith("*"), float(min(1.0, np.log(odds[t]) / top))) for t in chosen])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = LexiconAutomaton([t[:2] for t in model.terms])

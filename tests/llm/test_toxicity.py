@@ -81,6 +81,22 @@ def test_held_out_accuracy(spark, tmp_path):
     assert by_id[10_001].score == by_id[10_002].score < 0.5 and by_id[10_003].predicted == 0
 
 
+def test_misspellings_of_a_term_with_a_prefix_entry(spark):
+    rows, labels = corpus(400)
+    rng = random.Random(4)
+    for k, (i, text) in enumerate(rows):
+        if labels[k][1]:
+            words = [w for w in text.split() if w[:2] not in ("lo", "id", "wo", "sc")]
+            for _ in range(6):
+                words.insert(rng.randrange(len(words)), rng.choice(["idiot", "idiots", "idiotic"]))
+            rows[k] = (i, " ".join(words))
+    model = X.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any(p and "idiotic".startswith(t) for t, p, _ in model.terms)
+    matcher = X.Matcher(model)
+    assert all(matcher[w] for w in ("idiot", "idiots", "idiotic", "ideot", "iddiot", "idiotc"))
+    assert not matcher["river"] and not matcher["walks"]
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
