@@ -1,7 +1,7 @@
 """URL filters with a temporal list join.
 
 A list is a history: dated entries (pattern, action, category, at), where a pattern is a host with all hosts below it (example.com) or a host and the
-begin of a path (example.com/ads), and an action is block, allow or remove. The entries of a pattern become intervals of validity, each ending where the
+begin of a path (example.com/ads; case counts in paths, a slash at the end doesn't), and an action is block, allow or remove. The entries of a pattern become intervals of validity, each ending where the
 next begins. A capture asks for the keys that its URL can match (every host suffix, every path prefix), joins them by equality, and each key is evaluated as of the
 time of the fetch. Of the patterns then in force the most specific one decides.
 
@@ -47,10 +47,13 @@ HISTORY = [
 ]
 
 
+_PATTERN = "rtrim('/', concat(lower(regexp_extract(pattern, '^[^/]*', 0)), regexp_extract(pattern, '/.*', 0)))"
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """entries (pattern, action, category, at) as (pattern, action, category, since, until), only those that block or allow."""
     rank = F.expr("case action when 'block' then 2 when 'allow' then 1 else 0 end")
-    one = entries.where("pattern is not null and at is not null").select(F.lower("pattern").alias("pattern"), "at", F.struct(rank.alias("rank"), "category").alias("e")).groupBy("pattern", "at").agg(F.max("e").alias("e"))
+    one = entries.where("pattern is not null and at is not null").select(F.expr(_PATTERN).alias("pattern"), "at", F.struct(rank.alias("rank"), "category").alias("e")).groupBy("pattern", "at").agg(F.max("e").alias("e"))
     until = F.lead("at").over(Window.partitionBy("pattern").orderBy("at"))
     return one.select("pattern", "e.category", F.expr("e.rank = 2").alias("blocks"), F.col("at").alias("since"), until.alias("until"), F.col("e.rank").alias("rank")).where("rank > 0").drop("rank")
 

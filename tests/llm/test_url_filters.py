@@ -40,3 +40,11 @@ def test_equals_brute_force(spark):
         assert sorted(got, key=key) == sorted(want, key=key)
     assert U.filter_urls(captures.limit(0), listed, "cid", "url", "t").count() == 0
     assert not U.filter_urls(captures, listed.limit(0), "cid", "url", "t").where("blocked").count()
+
+
+def test_patterns_with_capitals_and_slashes(spark):
+    patterns = ["Example.com/Ads", "b.example/ads/", "C.Example/", "d.example/ads"]
+    listed = spark.createDataFrame([(p, "block", "c", DAY) for p in patterns], "pattern string, action string, category string, at date")
+    urls = {"http://EXAMPLE.com/Ads/x": "example.com/Ads", "http://example.com/ads/x": None, "http://b.example/ads": "b.example/ads", "http://b.example/ads/y": "b.example/ads", "http://www.c.example/z": "c.example", "http://d.example/ADS": None}
+    captures = spark.createDataFrame([(u, DAY) for u in urls], "url string, t date")
+    assert {r.url: r.entry for r in U.filter_urls(captures.selectExpr("url as cid", "url", "t"), listed, "cid", "url", "t").withColumnRenamed("cid", "url").collect()} == urls
