@@ -44,7 +44,7 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A run that goes on over line ends (or \\n in a string literal); every further line holds nothing else.
-_WRAPPED = re.compile(r"""[A-Za-z0-9+/_-]{16,}+(?:[ \t]*(?:\r?\n|\r|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/_-]++(?=={0,2}[ \t]*(?:[\r\n\\"'`<>)\],;}]|\Z)))++={0,2}""")
+_WRAPPED = re.compile(r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*(?:\r?\n|\r|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/_-]++(?=={0,2}[ \t]*(?:[\r\n\\"'`<>)\],;}]|\Z)))++={0,2}""")
 _LETTERS = re.compile(r"(?:(?<=\\)[rn]|[^A-Za-z0-9+/_-])+")
 #: No secret and no encoding of one is shorter.
 _STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{16,}")
