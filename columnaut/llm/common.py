@@ -43,7 +43,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
         folder = "file://" + folder[5:]
     elif "://" not in folder and spark.sparkContext.master.startswith("local"):
         folder = "file://" + folder
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +56,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The paths in the shared folder that were given out, by application, until they are discarded.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete an intermediate table that `materialize` gave and nothing needs any more."""
+    for path in df.inputFiles()[:1]:
+        folder = path.rpartition("/")[0]
+        for own in [x for x in _WRITTEN.get(df.sparkSession.sparkContext.applicationId, []) if x.rpartition("/")[2] == folder.rpartition("/")[2]]:
+            _WRITTEN[df.sparkSession.sparkContext.applicationId].remove(own)
+            _delete(df.sparkSession, own)
+
+
+class scratch:
+    """with scratch(spark): whatever the operators write into the shared folder meanwhile is deleted at the end; results that read it must have been written elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.before = len(_WRITTEN.setdefault(self.spark.sparkContext.applicationId, []))
+
+    def __exit__(self, *_) -> None:
+        written = _WRITTEN[self.spark.sparkContext.applicationId]
+        while len(written) > self.before:
+            _delete(self.spark, written.pop())
+
+
 #: Bytes that one Arrow batch holds, about, unless the session says otherwise; the default counts rows only, and texts can be long.
 BATCH_BYTES = 4 << 20
 
