@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import base64
 import bisect
-import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, documents, map_batches, materialize, slices, texts_of, two_columns
+from .common import documents, map_batches, materialize, slices, texts_of, two_columns
 
 #: Pieces that one group holds, about; and the fillings that the search may try in a group.
 GROUP_ROWS = 32_768
@@ -46,12 +47,8 @@ def _encoder(ranks_file: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-_MEMOS: dict[str, Memo] = {}
-
-
 class Tokenize:
-    """Ids of a text as bytes, 4 for each. The pattern of the tokenizer never joins a space to what is left of it unless that is white space
-    too, so a text is cut before each space that follows another character, and a part is looked up if it came before."""
+    """Ids of a text as bytes, 4 for each."""
 
     def __init__(self, tokenizer_file: str, pattern: str | None = None):
         if not tokenizer_file.endswith("byte_bpe_50k.json"):
@@ -63,43 +60,10 @@ class Tokenize:
         self.ranks, self.pattern = tokenizer_file.removesuffix("json") + "tiktoken", pattern
 
     def __call__(self, text: str) -> bytes:
-        if self.ranks not in _MEMOS:
-            encode = _encoder(self.ranks, self.pattern).encode_ordinary
-            _MEMOS[self.ranks] = Memo(lambda word: np.array(encode(" " + word), "<u4").tobytes())
-        memo = _MEMOS[self.ranks]
-        if not text:
-            return b""
-        if _space_before_space(text):
-            parts = _joined(text)
-            first, rest = ("", parts) if text[0] == " " else (parts[0], parts[1:])
-            rest = [x[1:] for x in rest]
-        else:
-            first, *rest = text.split(" ")
-        return b"".join([np.array(_encoder(self.ranks, self.pattern).encode_ordinary(first), "<u4").tobytes() if first else b"", *map(memo.__getitem__, rest)])
-
-
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
-
-
-def _space_before_space(text: str) -> bool:
-    """Whether white space stands before a space."""
-    return "  " in text or "\n " in text or "\t " in text or "\r " in text or "\x0b " in text or "\x0c " in text or _ODD.search(text) is not None
-
-
-def _joined(text: str) -> list[str]:
-    """text cut before each space that follows a character other than white space."""
-    parts: list[str] = []
-    for i, x in enumerate(text.split(" ")):
-        x = " " + x if i else x
-        if parts and (not parts[-1] or parts[-1][-1].isspace()):
-            parts[-1] += x
-        elif x:
-            parts.append(x)
-        elif not i:
-            parts.append("")
-    if parts and not parts[0]:
-        parts.pop(0)
-    return parts
+        ids = array("I", _encoder(self.ranks, self.pattern).encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def tokenizer_path() -> str:
