@@ -17,6 +17,7 @@ id sorts first; rows may share an id, each keeps its own text. An empty table gi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,19 +69,50 @@ def permuted(i: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: numpy draws exactly from populations up to this size.
+_NUMPY_LIMIT = 900_000_000
+
+
+def _log_ratio(a: int, b: int) -> float:
+    """log(a! / b!) without the loss of digits that a difference of two large logarithms has."""
+    if min(a, b) < 10_000:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    d = a - b
+    return d * math.log(b) + (a + 0.5) * math.log1p(d / b) - d + (1 / a - 1 / b) / 12
+
+
+def hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of `take` things drawn without replacement are good, at any size: by the ratio of uniforms (Stadlober), whose acceptance test uses the distribution itself."""
+    n, few, many = good + bad, min(good, bad), max(good, bad)
+    m, z = min(take, n - take), 0
+    if m and few:
+        centre, sd = m * (few / n) + 0.5, math.sqrt((n - m) / (n - 1) * m * (few / n) * (many / n) + 0.5)
+        height = 2 * math.sqrt(2 / math.e) * sd + 3 - 2 * math.sqrt(3 / math.e)
+        mode, top = (m + 1) * (few + 1) // (n + 2), min(min(m, few) + 1, math.floor(centre + 16 * sd))
+        while True:
+            u, v = rng.random(2)
+            x = centre + height * (v - 0.5) / u if u else -1.0
+            if 0 <= x < top:
+                z = int(x)
+                t = _log_ratio(mode, z) + _log_ratio(few - mode, few - z) + _log_ratio(m - mode, m - z) + _log_ratio(many - m + mode, many - m + z)
+                if 2 * math.log(u) <= t:
+                    break
+    if good > bad:
+        z = m - z
+    return good - z if m < take else z
+
+
 def _split(counts: np.ndarray, take: int, seed: tuple[int, ...]) -> np.ndarray:
-    """How many of `take` slots drawn at random without replacement fall to each source."""
+    """How many of `take` slots drawn at random without replacement fall to each source; exact at any size."""
     rng = np.random.default_rng(seed)
-    if counts.sum() < 900_000_000:
+    left = int(counts.sum())
+    if left < _NUMPY_LIMIT:
         return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    out, total = np.zeros_like(counts), int(counts.sum())  # beyond numpy's range: the normal limit, within bounds
-    for s in range(len(counts)):
-        own = int(counts[s])
-        rest = total - own
-        mean = take * own / total if total else 0.0
-        var = mean * (rest / total) * ((total - take) / max(total - 1, 1)) if total else 0.0
-        out[s] = min(max(round(rng.normal(mean, var**0.5)), take - rest, 0), own, take)
-        take, total = take - int(out[s]), rest
+    out = np.zeros_like(counts)
+    for s, own in enumerate(map(int, counts)):
+        left -= own
+        out[s] = hypergeometric(own, left, take, rng)
+        take -= int(out[s])
     return out
 
 
@@ -124,15 +156,24 @@ class Mix:
         self.weights = [weights(i) for i in range(len(rows))]
         self.targets = targets(self.sizes, self.weights, max_repeats)
 
-        # place of every document within its source: buckets of bounded size are sorted, and their totals summed up
+        # place of every document within its source: rows that are alike are one entry with a count, so that no value can fill a bucket; buckets of bounded size are
+        # sorted, and their totals summed up
         n_buckets = max(1, -(-sum(r.n for r in rows) // BUCKET_ROWS))
         at = spark.createDataFrame([(k, s) for k, s in enumerate(self.sources)], "s int, source string")
-        keyed = counted.join(F.broadcast(at), counted["source"].eqNullSafe(at["source"])).drop("source")
+        keyed = counted.join(F.broadcast(at), counted["source"].eqNullSafe(at["source"])).groupBy("s", "id", *own_key, "size").agg(F.count(F.lit(1)).alias("k"))
         keyed = keyed.withColumn("b", F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), *map(F.hex, own_key)), "size"), F.lit(n_buckets)).cast("int"))
-        totals = keyed.groupBy("s", "b").agg(F.sum("size").alias("t"))
+        keyed = materialize(keyed, "mix-entries")
+        totals = keyed.groupBy("s", "b").agg(F.sum(F.col("size") * F.col("k")).alias("t"))
         base = totals.withColumn("base", F.sum("t").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).select("s", "b", F.coalesce("base", F.lit(0)).alias("base"))
         inside = Window.partitionBy("s", "b").orderBy("id", "size", *own_key).rowsBetween(Window.unboundedPreceding, -1)
-        self.sized = materialize(keyed.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(base) if n_buckets * len(rows) <= 100_000 else base, ["s", "b"]).select("id", *own_key, "s", "size", (F.col("base") + F.col("own")).alias("start")), "mix-places")
+        placed = keyed.withColumn("own", F.coalesce(F.sum(F.col("size") * F.col("k")).over(inside), F.lit(0))).join(F.broadcast(base) if n_buckets * len(rows) <= 100_000 else base, ["s", "b"])
+        placed = placed.select("id", *own_key, "s", "size", (F.col("base") + F.col("own")).alias("start"), "k")
+        one = placed.where("k = 1").drop("k")
+        many = placed.where("k > 1").withColumn("c", F.explode(F.expr(f"sequence(0L, k - 1, {BUCKET_ROWS}L)")))
+        if not many.isEmpty():  # entries of many rows are cut up and dealt out before they become rows again
+            many = many.repartition("id", *own_key, "s", "size", "c").withColumn("i", F.explode(F.expr(f"sequence(c, least(c + {BUCKET_ROWS}L, k) - 1)")))
+            one = one.unionByName(many.select("id", *own_key, "s", "size", (F.col("start") + F.col("i") * F.col("size")).alias("start")))
+        self.sized = materialize(one, "mix-places")
 
         # slots: as many blocks as the target needs, the last perhaps in part; passes over a source are whole but the last
         sizes, goal = np.array(self.sizes, np.int64), np.array([round(t) for t in self.targets], np.int64)

@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 
 import numpy as np
@@ -59,6 +60,36 @@ def test_shards_add_up():
     assert (seen == slots).all()
 
 
+def test_draws_are_exact_at_any_size():
+    rng = np.random.default_rng(6)
+    for good, bad, take in ((50, 80, 40), (900, 100, 700), (7, 3, 5), (1, 1, 1), (0, 9, 4), (30_000, 50_000, 20_000)):
+        got = np.array([M.hypergeometric(good, bad, take, rng) for _ in range(8000)])
+        want = rng.hypergeometric(good, bad, take, 8000)
+        assert got.min() >= max(0, take - bad) and got.max() <= min(good, take)
+        p = good / (good + bad)
+        sd = max(1e-9, np.sqrt(take * p * (1 - p) * (good + bad - take) / (good + bad - 1)))
+        assert abs(got.mean() - take * p) < 5 * sd / 80 + 1e-9 and abs(got.std() / sd - 1) < 0.05 or sd < 1e-6
+        edges = np.quantile(want, np.linspace(0.1, 0.9, 9))
+        assert np.abs(np.searchsorted(np.sort(got), edges, side="right") - np.searchsorted(np.sort(want), edges, side="right")).max() < 300
+    # beyond numpy's range: a few things among very many are drawn as by single coin tosses
+    got = np.array([M.hypergeometric(3 * 10**12, 7 * 10**12, 10, rng) for _ in range(20_000)])
+    want = np.array([math.comb(10, k) * 0.3**k * 0.7 ** (10 - k) for k in range(11)])
+    assert np.abs(np.bincount(got, minlength=11) / 20_000 - want).max() < 0.015
+    big = np.array([M.hypergeometric(4 * 10**11, 6 * 10**11, 5 * 10**11, rng) for _ in range(2000)])
+    sd = np.sqrt(5e11 * 0.24 * 0.5)
+    assert abs(big.mean() - 2e11) < 5 * sd / 45 and abs(big.std() / sd - 1) < 0.1
+
+
+def test_shards_add_up_beyond_the_range_of_numpy():
+    slots = np.array([2_000_000_000, 0, 37, 1_500_000_000, 5])
+    before = np.zeros(5, np.int64)
+    for k in range(6):
+        first, n = M.shard_counts(slots, k, 6, 5)
+        assert (first == before).all() and (n >= 0).all()
+        before += n
+    assert (before == slots).all()
+
+
 @pytest.mark.parametrize("block", [16, 256])
 def test_mix(spark, block):
     data = rows() + [(1_000_001, None, "a", 0), (1_000_002, "", "q", 0), (None, "no id", "b", 0), (1_000_003, "twice same row", "c", 0), (1_000_003, "twice same row", "c", 0), (1_000_004, "long " * 30_000, "z", 0)]
@@ -107,6 +138,20 @@ def test_rows_that_share_an_id_keep_their_texts(spark):
     assert sorted(map(str, again)) == sorted(map(str, mixed))
 
 
+def test_many_rows_that_are_alike(spark, monkeypatch):
+    """A third of the rows have neither id nor different sizes: they are counted, not sorted in one task."""
+    monkeypatch.setattr(M, "BUCKET_ROWS", 50)
+    data = [(None, "same words here", "a", 0)] * 300 + [(i, "w " * (i % 9), "ab"[i % 2], 0) for i in range(600)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    got = M.Mix(docs, block=16, shard_slots=8).digest().collect()
+    assert collections.Counter((r.doc_id, r["size"]) for r in got) == collections.Counter((i, len(t.split())) for i, t, _, _ in data)
+    by = {s: sum(len(t.split()) for _, t, x, _ in data if x == s) for s in "ab"}
+    assert {s: v for s, v in by.items()} == {s: {r.source_size for r in got if (r.doc_id or 0) % 2 == k}.pop() for s, k in (("a", 0), ("b", 1))}
+    assert sum(r.taken for r in got) == pytest.approx(sum(by.values()), abs=2)
+    again = M.Mix(docs.repartition(5), block=16, shard_slots=8).digest()
+    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert M.Mix(docs).digest().count() == 0 and M.mix_documents(docs).count() == 0
