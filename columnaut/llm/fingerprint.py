@@ -6,7 +6,8 @@ quartiles and a bounded difference of their lengths, scaled to a likeness from 0
 
 Edge cases: null counts as the empty text, whose quartiles are all 0; texts shorter than the window are padded with zero bytes, so they too have
 triplets; equal texts have equal digests. Texts are hashed whole. For the edited texts, rows are ordered by id (null ids first, equal ids by
-text), the last is followed by the first, and a single row by itself. An empty table gives an empty result; other columns aren't read.
+their place in the table, in a fixed but arbitrary order if they are very many), the last is followed by the first, and a single row by itself. Ids may be of any type that can be
+ordered. An empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bound_batches, documents, map_batches, slices, texts_of, two_columns
 
@@ -83,70 +86,118 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(source, run, f"`{id_col}` {dict(source.dtypes)['id']}, n_chars bigint, fingerprint string")
 
 
-_LEAST = -(2**63)
-
-
-def in_order(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """(bucket, place, copy, text): all rows dealt into ranges of ids, sorted in partitions, and after the rows of each range (copy = true) those that follow
-    it. The ranges are bounded by quantiles of the ids; texts are shuffled once."""
-    source = two_columns(docs, id_col, text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(_LEAST)).alias("place"), "text")
-    n = 4 * parts
-    cuts = source.agg(F.percentile_approx("place", [i / n for i in range(1, n)], 100 * n).alias("q")).first().q or []
-    splits = np.unique(np.array(cuts, np.int64))
-
-    def bucket(ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(splits, ids, side="left")
+#: Bytes of text that a range of ids holds, about; and how many ranges there are at most.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 200_000
+#: Sampled ids for each range.
+_SAMPLES = 20
+
+
+class Ranges:
+    """Numbers of ranges, ascending with the id: range 0 holds the rows without one, and each further one the ids after a bound up to the next. An id, or no id, that makes up more than a range is
+    dealt into several by the rows' places."""
+
+    def __init__(self, sample: np.ndarray, n: int, nulls: int):
+        sample = np.sort(sample)
+        picks = sample[np.linspace(0, len(sample), n + 1)[1:-1].astype(np.int64)] if len(sample) else sample
+        self.splits = np.unique(picks) if len(picks) else picks
+        width = np.ones(len(self.splits) + 2, np.int64)
+        width[0] = nulls
+        self.hot = []  # ids of several parts; each is the last one of its range
+        if len(sample):
+            for value, k in zip(*np.unique(sample, return_counts=True)):
+                if k * n > 2 * len(sample):
+                    width[np.searchsorted(self.splits, value) + 1] = -(-int(k) * n // len(sample))
+                    self.hot.append(value)
+        self.width, self.before = width, np.concatenate([[0], np.cumsum(width)[:-1]])
+        self.total = int(width.sum())
+
+    def __call__(self, ids: pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(range, part of an id, or -1 for an id that isn't cut) of rows."""
+        some = np.asarray(ids.is_valid())
+        values = ids.drop_null().to_numpy(zero_copy_only=False)
+        at, cut = np.zeros(len(ids), np.int64), ~some & (self.width[0] > 1)
+        if len(values):
+            at[some] = np.searchsorted(self.splits, values) + 1
+            for v in self.hot:
+                cut[some] |= values == v
+        mixed = (places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        part = np.where(cut, mixed.astype(np.int64) % self.width[at], -1)
+        return self.before[at] + np.maximum(part, 0), part
+
+
+def in_order(docs: DataFrame, id_col: str, text_col: str, range_bytes: int = RANGE_BYTES, least_ranges: int | None = None) -> DataFrame:
+    """(range, copy, id, part, place, text): all rows dealt into ranges of ids, each sorted in a partition of its own, and after the rows of each range (copy = true) the one row that follows
+    it (or, if rows share its id, all of these). The number of ranges follows from the bytes of the table; their bounds come from a sample of the ids and only balance the work. Texts are shuffled
+    once. The table is read three times; if an id is cut into parts, rows must be in the same places each time, as in files (else the run fails)."""
+    spark = docs.sparkSession
+    source = two_columns(docs, id_col, text_col).withColumn("place", F.monotonically_increasing_id())
+    size = source.agg(F.count(F.lit(1)).alias("n"), F.count("id").alias("ids"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = min(max(least_ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size.bytes or 0) // range_bytes)), MOST_RANGES)
+    drawn = source.where("id is not null").select("id").sample(min(1.0, 2 * _SAMPLES * n / max(1, size.n)), 7).toArrow().column("id")
+    ranges = Ranges(drawn.to_numpy(), n, max(1, -(-(size.n - size.ids) * n // max(1, size.n))))
 
     def least(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = np.unique(batch.column("place").to_numpy())
-        b, at = np.unique(bucket(ids), return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(ids[at], pa.int64())], names=["bucket", "first"])
-
-    # one row per range at most
-    firsts = sorted((r.bucket, r.first) for r in map_batches(source.select("place"), least, "bucket bigint, first bigint").groupBy("bucket").agg(F.min("first").alias("first")).collect())
-    follows = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}  # of the first id of a range: the range before
+        at, part = ranges(batch.column("id"), batch.column("place").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(at), batch.column("id"), pa.array(part), batch.column("place")], names=["range", "id", "part", "place"])
+
+    kind = dict(source.dtypes)["id"]
+    ends = map_batches(source.select("id", "place"), least, f"range bigint, id {kind}, part bigint, place bigint")
+    ends = ends.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "part", "place")).alias("first"))
+    firsts = sorted((r.range, r.first) for r in ends.collect())  # one row for each range
+    # the range before, by the id with which a range begins, or by the place of its first row if that id is cut into parts
+    by_id = {r.id: firsts[i - 1][0] for i, (_, r) in enumerate(firsts) if r.part < 0}
+    by_place = {r.place: firsts[i - 1][0] for i, (_, r) in enumerate(firsts) if r.part >= 0}
+    begins = pa.array([i for i in by_id if i is not None], to_arrow_type(source.schema["id"].dataType))
+    starts = np.array(sorted(by_place), np.int64)
 
     def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, "text"):
-            ids = part.column("place").to_numpy()
-            again = np.flatnonzero(np.isin(ids, list(follows)))
-            to = np.concatenate([bucket(ids), [follows[int(x)] for x in ids[again]]]).astype(np.int64)
-            rows = pa.array(np.concatenate([np.arange(len(ids)), again]).astype(np.int64))
-            copy = pa.array(np.arange(len(rows)) >= len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(to), part.column("place").take(rows), copy, part.column("text").take(rows)], names=["bucket", "place", "copy", "text"])
-
-    return map_batches(source, deal, "bucket bigint, place bigint, copy boolean, text string").repartition(parts, "bucket").sortWithinPartitions("bucket", "copy", "place", "text")
-
-
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+        for some in slices(batch, "text"):
+            places = some.column("place").to_numpy()
+            at, part = ranges(some.column("id"), places)
+            ids = some.column("id")
+            same = np.asarray(pc.is_in(ids, begins)) | (np.asarray(ids.is_null()) if None in by_id else False)
+            again = np.flatnonzero(same & (part < 0) | np.isin(places, starts) & (part >= 0))
+            to = np.concatenate([at, np.array([by_id[ids[i].as_py()] if part[i] < 0 else by_place[int(places[i])] for i in again], np.int64)])
+            rows = pa.array(np.concatenate([np.arange(len(places)), again]).astype(np.int64))
+            copy = pa.array(np.arange(len(rows)) >= len(places))
+            yield pa.RecordBatch.from_arrays([pa.array(to), copy, some.column("id").take(rows), pa.array(part).take(rows), some.column("place").take(rows), some.column("text").take(rows)], names=["range", "copy", "id", "part", "place", "text"])
+
+    dealt = map_batches(source, deal, f"range bigint, copy boolean, id {kind}, part bigint, place bigint, text string")
+    return dealt.repartitionById(ranges.total, F.col("range").cast("int")).sortWithinPartitions("range", "copy", F.asc_nulls_first("id"), "part", "place")
+
+
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES, least_ranges: int | None = None) -> DataFrame:
     """Every row's fingerprint beside that of its edited text, whose last quarter of code points is replaced by the first as many of the next row's text; and
     the likeness of its fingerprint to the edited text's and to the next row's."""
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = in_order(docs, id_col, text_col, parts)
-    names = ["place", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    rows = in_order(docs, id_col, text_col, range_bytes, least_ranges)
+    kind = docs.schema[id_col].dataType
+    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row whose next one hasn't come yet: bucket, place, text, fingerprint
+        held = None  # the row whose next one hasn't come yet: range, id, text, fingerprint
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
-                for bucket, place, copy, text in zip(part.column("bucket").to_pylist(), part.column("place").to_pylist(), part.column("copy").to_pylist(), texts_of(part, "text")):
+                for at, own_id, copy, text in zip(part.column("range").to_pylist(), part.column("id").to_pylist(), part.column("copy").to_pylist(), texts_of(part, "text")):
                     if held is None and copy:
                         continue  # rows with the same id as the one that follows
+                    if held is not None and held[0] != at:
+                        raise RuntimeError("rows have changed their places; write the table before")
                     own = fingerprint(text)
-                    if held is not None and held[0] == bucket:
-                        _, p, t, f = held
+                    if held is not None:
+                        _, i, t, f = held
                         k = len(t) // 4
                         edited = t[: len(t) - k] + text[:k]
                         e = fingerprint(edited)
-                        out.append((p, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, e, likeness(f, e), likeness(f, own)))
-                    held = None if copy else (bucket, place, text, own)
+                        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, e, likeness(f, e), likeness(f, own)))
+                    held = None if copy else (at, own_id, text, own)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names=names)
+        if held is not None:
+            raise RuntimeError("rows have changed their places; write the table before")
 
     bound_batches(docs.sparkSession)
-    found = rows.mapInArrow(run, "place bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return found.select(F.expr(f"if(place = {_LEAST}L, null, place)").cast(docs.schema[id_col].dataType).alias(id_col), *names[1:])
+    return rows.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
