@@ -3,13 +3,14 @@
 Training (`fit`) takes a bounded sample of labelled rows: words and word beginnings are counted in toxic texts by the number of different
 contexts that they stand in (so that copies of one text count once) and held against the clean texts; the best make up the lexicon. Its entries form a
 trie, and the Levenshtein automata of all entries are run on it at once: a state is a set of (trie node, edits so far), made deterministic as words are read, so a
-misspelled term costs one table step per letter. A beginning stands for the words as they are; the telling words that it covers stay in the lexicon beside it,
+misspelled term costs one table step per letter; the tables are built anew when they have grown too large. A beginning stands for the words as they are; the telling words that it covers stay in the lexicon beside it,
 so that their misspellings are found. Entries of under 5 letters allow no edits. Words that clean training texts hold aren't taken for misspellings.
 
 Each match is weighed by its window: quotation marks around it and words of reporting lower it, direct address raises it. Sums and density of the weighed
-matches enter a logistic regression. Scores depend on the text alone. Scoring needs no shuffle; the model is bounded by `max_terms` and `max_exceptions`.
+matches enter a logistic regression. Scores depend on the text alone. Scoring needs no shuffle. Only the number of labelled rows is bounded (`rows_per_class`); every telling term of theirs
+enters the lexicon, and every word of theirs the exceptions, so the model is bounded by what these rows hold.
 
-Edge cases: null and empty texts get the score of a text without matches; repeated rows get the same row each; without positive labels all scores are 0. An empty table
+Edge cases: of labelled rows with the same id and several texts one text is learnt from (that of the least digest); null and empty texts get the score of a text without matches; repeated rows get the same row each; without positive labels all scores are 0. An empty table
 gives an empty result; other columns aren't read. Texts are scored whole.
 """
 
@@ -37,14 +38,10 @@ _WINDOW = 80
 
 @dataclass(frozen=True)
 class ToxicityTraining:
-    """rows_per_class: labelled rows of each class to learn from, at most. max_candidates, max_terms, max_exceptions: bounds of what the driver holds
-    (words that a beginning covers come on top, max_terms at most).
+    """rows_per_class: labelled rows of each class to learn from, at most.
     min_contexts: different contexts that a term needs in toxic texts. min_ratio: how much likelier it must be in toxic than in clean texts."""
 
     rows_per_class: int = 6000
-    max_candidates: int = 100_000
-    max_terms: int = 512
-    max_exceptions: int = 50_000
     min_contexts: int = 6
     min_ratio: float = 8.0
 
@@ -66,9 +63,10 @@ def edits_allowed(term: str, prefix: bool) -> int:
 
 
 class LexiconAutomaton:
-    """Finds the entry of a lexicon that a word equals, begins with, or misspells."""
+    """Finds the entry of a lexicon that a word equals, begins with, or misspells. most_states: states of the deterministic automaton that are remembered, about."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], most_states: int = 50_000):
+        self.most_states = most_states
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.terms = terms
@@ -86,6 +84,9 @@ class LexiconAutomaton:
         for at in range(len(self.children) - 1, -1, -1):
             self.reach[at] = max([*(self.most[k] for k in self.ends[at]), *(self.reach[c] for c in self.children[at].values()), 0])
         self.letters = {c for x in self.children for c in x}
+        self._forget()
+
+    def _forget(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -123,6 +124,8 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(entry, edits), fewest edits first; None if no entry is near."""
+        if len(self.states) > self.most_states:
+            self._forget()
         state, begun, steps, begins = self.start, None, self.steps, self.begins
         for c in word:
             if c not in self.letters:
@@ -212,7 +215,7 @@ def _regression(x: np.ndarray, y: np.ndarray, by: np.ndarray, ridge: float = 1.0
 
 
 def _bit(text: str) -> int:
-    return 1 << (xxhash.xxh3_64_intdigest(text) & 62)
+    return 1 << (xxhash.xxh3_64_intdigest(text) % 63)
 
 
 def _terms(words: list[str]) -> Iterator[tuple[str, str, str]]:
@@ -225,27 +228,31 @@ def _terms(words: list[str]) -> Iterator[tuple[str, str, str]]:
                 yield w[:n] + "*", context, w
 
 
+def _beginnings(word: str) -> list[str]:
+    """The entries for beginnings that cover a word, or a beginning given without its mark."""
+    return [word[:n] + "*" for n in range(4, min(len(word), 7) + 1)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: ToxicityTraining = ToxicityTraining(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from the labelled rows given; leave out of `labels` what is to be held out."""
     known = labels.select(F.col(f"`{id_col}`").alias("lid"), F.col(f"`{label_col}`").cast("int").alias("y")).where("lid is not null and y in (0, 1)").groupBy("lid").agg(F.max("y").alias("y"))
     picks = [known.where(f"y = {y}").orderBy(F.xxhash64("lid"), "lid").limit(p.rows_per_class) for y in (0, 1)]
     bound_batches(docs.sparkSession)
     source = two_columns(docs, id_col, text_col)
-    sample = source.join(F.broadcast(picks[0].union(picks[1])), F.col("id") == F.col("lid")).select("y", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    sample = materialize(sample, "toxic-sample")
+    found = source.join(F.broadcast(picks[0].union(picks[1])), F.col("id") == F.col("lid")).select("lid", "y", F.coalesce("text", F.lit("")).alias("text"))
+    one = found.groupBy("lid").agg(F.min(F.struct(F.sha2("text", 256).alias("digest"), "text", "y")).alias("r"))  # ids may repeat
+    sample = materialize(one.select("r.y", "r.text").distinct(), "toxic-sample")
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return ToxicityModel()
 
-    def count(only: frozenset | None, y: int, out_bits: bool):
+    def count(y: int, out_bits: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[str, list[int]] = {}
             for batch in batches:
                 for text in batch.column("text").to_pylist():
                     of_text = set()
                     for term, context, word in _terms(_TOKEN.findall(text.lower())):
-                        if only is not None and term not in only:
-                            continue
                         row = seen.get(term)
                         if row is None:
                             row = seen[term] = [0, 0, 0]
@@ -263,22 +270,22 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityTraining = ToxicityTraini
         rows = sample.where(f"y = {y}").select("text").mapInArrow(run, "term string, contexts bigint, words bigint, n bigint")
         return rows.groupBy("term").agg(F.bit_or("contexts").alias("contexts"), F.bit_or("words").alias("words"), F.sum("n").alias("n"))
 
-    bad = count(None, 1, True).select("term", F.bit_count("contexts").alias("contexts"), F.bit_count("words").alias("words"), "n").where(f"contexts >= {p.min_contexts} and (not endswith(term, '*') or words >= 3)")
-    rows = bad.orderBy(F.desc("n"), "term").limit(p.max_candidates).collect()
-    clean = {r.term: r.n for r in count(frozenset(r.term for r in rows), 0, False).collect()}
-    odds = {r.term: ((r.n + 0.5) / (sizes[1] + 1)) / ((clean.get(r.term, 0) + 0.5) / (sizes[0] + 1)) for r in rows}
-    n_of = {r.term: r.n for r in rows}
-    good = {t for t, o in odds.items() if o >= p.min_ratio and clean.get(t, 0) * 20 <= n_of[t]}
+    bad = count(1, True).select("term", F.bit_count("contexts").alias("contexts"), F.bit_count("words").alias("words"), "n").where(f"contexts >= {p.min_contexts} and (not endswith(term, '*') or words >= 3)")
+    clean = count(0, False).select("term", F.col("n").alias("m"))
+    odds_of = F.expr(f"((n + 0.5D) / {sizes[1] + 1}) / ((coalesce(m, 0) + 0.5D) / {sizes[0] + 1})")
+    telling = bad.join(clean, "term", "left").select("term", "n", odds_of.alias("odds"), "m").where(f"odds >= {p.min_ratio!r}D and coalesce(m, 0) * 20 <= n")
+    rows = telling.collect()
+    odds, n_of = {r.term: r.odds for r in rows}, {r.term: r.n for r in rows}
+    good = set(odds)
     begins = {t for t in good if t.endswith("*")}
     # of beginnings that say the same the longest
-    begins = {t for t in begins if not any(u != t and u.startswith(t[:-1]) and n_of[u] >= 0.95 * n_of[t] for u in begins)}
-    begins = {t for t in begins if not any(u != t and t.startswith(u[:-1]) for u in begins)}
-    whole = {t for t in good if not t.endswith("*") and not any(t.startswith(u[:-1]) for u in begins)}
-    chosen = sorted(begins | whole, key=lambda t: (-odds[t], t))[: p.max_terms]
+    begins -= {t for u in begins for t in _beginnings(u[:-1]) if t != u and t in begins and n_of[u] >= 0.95 * n_of[t]}
+    begins = {t for t in begins if not any(u != t and u in begins for u in _beginnings(t[:-1]))}
+    covered = {t for t in good if not t.endswith("*") and any(u in begins for u in _beginnings(t))}
+    chosen = sorted(begins | {t for t in good if not t.endswith("*")} - covered, key=lambda t: (-odds[t], t))
     top = max((np.log(odds[t]) for t in chosen), default=1.0)
     # words that a chosen beginning covers are needed for their misspellings
-    covered = {t for t in good if not t.endswith("*") and edits_allowed(t, False) and any(u.endswith("*") and t.startswith(u[:-1]) for u in chosen)}
-    chosen += sorted(covered, key=lambda t: (-n_of[t], t))[: p.max_terms]
+    chosen += sorted((t for t in covered if edits_allowed(t, False)), key=lambda t: (-n_of[t], t))
     model = ToxicityModel([(t.rstrip("*"), t.endswith("*"), float(min(1.0, np.log(odds[t]) / top))) for t in chosen])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityTraining = ToxicityTraini
         words = {w for batch in batches for text in batch.column("text").to_pylist() for w in _TOKEN.findall(text.lower())}
         yield pa.RecordBatch.from_arrays([pa.array(sorted(w for w in words if (automaton.match(w) or (0, 0))[1]), pa.string())], names=["word"])
 
-    found = sample.where("y = 0").select("text").mapInArrow(near, "word string").groupBy("word").count().orderBy(F.desc("count"), "word").limit(p.max_exceptions).collect()
+    found = sample.where("y = 0").select("text").mapInArrow(near, "word string").distinct().collect()
     model.exceptions = frozenset(r.word for r in found)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

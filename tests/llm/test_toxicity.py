@@ -103,3 +103,38 @@ def test_nothing_to_learn(spark):
     model = X.fit(docs, labels)
     assert [r.score for r in X.score(docs, model).collect()] == [0.0]
     assert X.score(docs.limit(0), model).count() == 0
+
+
+def test_contexts_are_told_apart():
+    assert len({X._bit(f"context {i}") for i in range(2000)}) == 63
+
+
+def test_forgetting_states_changes_nothing():
+    rng = random.Random(5)
+    terms = [("".join(rng.choice("abcd") for _ in range(rng.randint(3, 13))), rng.random() < 0.2) for _ in range(60)]
+    small, large = X.LexiconAutomaton(terms, most_states=20), X.LexiconAutomaton(terms)
+    for _ in range(3000):
+        word = "".join(rng.choice("abcde") for _ in range(rng.randint(1, 14)))
+        assert small.match(word) == large.match(word)
+    assert len(small.states) < 100 < len(large.states)
+
+
+def test_every_telling_term_enters_the_lexicon(spark):
+    """700 terms, more than the lexicon once took."""
+    rng = random.Random(6)
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i * 7919 % 100000:05d}") + "zq"
+    terms = [word(i) for i in range(700)]
+    rows = [(i, " ".join(f"w{rng.randrange(500)} {rng.choice(terms)} v{rng.randrange(500)}" for _ in range(60)), 1) for i in range(200)]
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(500)} v{rng.randrange(500)}" for _ in range(60)), 0) for i in range(200)]
+    rows += [(1, "another text of that id", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = X.fit(docs, docs.select("doc_id", "toxic"))
+    whole = {t for t, prefix, _ in model.terms if not prefix}
+    assert sum(t in whole for t in terms) > 650
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string").selectExpr("*", "0.5 as score", "true as held_out", "1 as y", "2 as lid")
+    got = X.score(docs, X.ToxicityModel())
+    assert got.columns == ["doc_id", "score"] and sorted(r.score for r in got.collect()) == [0.0, 0.0]
+    assert X.fit(docs, docs.selectExpr("doc_id", "1 as toxic")).weights is None
