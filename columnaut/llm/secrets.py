@@ -20,8 +20,10 @@ to `max_layer_bytes`; a longer run inside compressed data is scanned in parts.
 from __future__ import annotations
 
 import base64
+import bisect
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -166,6 +168,12 @@ def _contents(chunks: Iterator[bytes], most: int, above: frozenset[bytes] = froz
         want = 2 * len(stream.held) + WINDOW_BYTES
 
 
+def _cover(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The starts of spans in order, and how far any span reaches that starts there or before."""
+    ordered = sorted(spans)
+    return [s[0] for s in ordered], list(itertools.accumulate((s[1] for s in ordered), max))
+
+
 Layer = tuple[str, np.ndarray, np.ndarray]  # text; start and end in the original text of each character
 
 
@@ -262,6 +270,7 @@ def scan_text(text: str, most: int = MAX_LAYER_BYTES) -> list[tuple[int, int, in
         return []
     base = find(text)
     found = set(base)
+    opens, upto = _cover(base)
     places = np.arange(len(text), dtype=np.int64)
     seen = {hashlib.sha256(text.encode(errors="surrogatepass")).digest()}
     work = [unwrap((text, places, places + 1), most)]  # one layer of each depth is held at a time
@@ -277,12 +286,25 @@ def scan_text(text: str, most: int = MAX_LAYER_BYTES) -> list[tuple[int, int, in
         work.append(unwrap(inner, most))
         for a, b, kind in find(inner[0]):
             s, e = int(inner[1][a:b].min()), int(inner[2][a:b].max())
-            if not any(x <= s and e <= y for x, y, _ in base):  # what stands in the open was found already
+            k = bisect.bisect_right(opens, s)
+            if not k or upto[k - 1] < e:  # what stands in the open was found already
                 found.add((s, e, kind + 3))
     # a secret over a line end is found in its own line as well, so far as that goes
-    wide = [f for f in found if f[2] > 2 and ("\n" in text[f[0] : f[1]] or "\\n" in text[f[0] : f[1]])]
-    if wide:
-        found = {f for f in found if not any(f != g and f[2] == g[2] and g[0] <= f[0] and f[1] <= g[1] and (f[0] == g[0] or f[2] == 5) for g in wide)}
+    for kind in (3, 4, 5):
+        wide = sorted((a, -b) for a, b, k in found if k == kind and (text.find("\n", a, b) >= 0 or text.find("\\n", a, b) >= 0))
+        if wide:
+            upto = list(itertools.accumulate((-b for _, b in wide), max))
+            longest: dict[int, int] = {}
+            for a, b in wide:
+                longest.setdefault(a, -b)
+
+            def inside(f: tuple[int, int, int]) -> bool:
+                if kind < 5:
+                    return longest.get(f[0], -1) > f[1]
+                k = bisect.bisect_left(wide, (f[0], -f[1]))  # those before begin no later, and end later if they begin there too
+                return k > 0 and upto[k - 1] >= f[1]
+
+            found = {f for f in found if f[2] != kind or not inside(f)}
     return sorted(found, key=lambda f: (f[0], f[2], f[1]))
 
 

@@ -1,4 +1,5 @@
 import base64
+import bisect
 import bz2
 import gzip
 import hashlib
@@ -7,6 +8,7 @@ import lzma
 import random
 import re
 import tarfile
+import time
 import urllib.parse
 import zlib
 
@@ -147,3 +149,24 @@ def test_query_digest(spark, tmp_path):
     spans = ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, b, k in brute(text))
     assert (row.n_assign, row.n_access, row.n_hex) == (1, 1, 1)
     assert row.spans == spans and row.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def test_many_findings_take_time_in_proportion():
+    took = []
+    for n in (2000, 8000):
+        text = " ".join(f"{i:016x}f" for i in range(n)) + " %41"
+        began = time.perf_counter()
+        assert len(S.scan_text(text)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_findings_inside_others_equal_the_definition():
+    rng = random.Random(9)
+    for _ in range(100):
+        base = {(a, a + rng.randint(1, 9), rng.randint(0, 2)) for a in (rng.randrange(60) for _ in range(12))}
+        opens, upto = S._cover(list(base))
+        for s in range(60):
+            for e in range(s + 1, s + 12):
+                k = bisect.bisect_right(opens, s)
+                assert bool(k and upto[k - 1] >= e) == any(x <= s and e <= y for x, y, _ in base)
