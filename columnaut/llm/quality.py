@@ -81,7 +81,7 @@ def measure_text(text: str, rules: QualityRules) -> tuple:
     if n >= 4:  # a window of 3 words can't occur twice in fewer
         h = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
         g = h
-        for k in range(2, max(rules.ngram_pct, default=3) + 1):
+        for k in range(2, max([3, *rules.ngram_pct]) + 1):
             if n <= k:
                 break
             g = g[:-1] * _P + h[k - 1 :]  # the hash of k words from that of the first k - 1

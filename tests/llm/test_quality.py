@@ -41,3 +41,9 @@ def test_rows(spark):
     kept = Q.keep_good(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 3]
     assert Q.measure(docs.limit(0)).count() == 0 and Q.keep_good(docs.limit(0)).count() == 0
+
+
+def test_windows_of_three_words_are_seen_whatever_the_rules():
+    text = "one two three " * 40
+    assert Q.measure_text(text, Q.QualityRules(ngram_pct={2: 30}))[4] == Q.measure_text(text, Q.QualityRules())[4] == 120
+    assert Q.measure_text(text, Q.QualityRules(ngram_pct={}))[4] == 120
