@@ -3,14 +3,15 @@
 A list is a history: dated entries (pattern, action, category, at), where a pattern is a host with all hosts below it (example.com) or a host and the
 begin of a path (example.com/ads; case counts in paths, a slash at the end doesn't), and an action is block, allow or remove. The entries of a pattern become intervals of validity, each ending where the
 next begins. A capture asks for the keys that its URL can match (every host suffix, every path prefix), joins them by equality, and each key is evaluated as of the
-time of the fetch. Of the patterns then in force the most specific one decides.
+time of the fetch. Of the patterns then in force the most specific one decides. Keys with more labels, steps or characters than any pattern of the list has can't match and aren't made, so
+a URL with very many steps gives no more keys than the list is deep.
 
 The list is broadcast if it has at most `broadcast_rows` intervals; beyond that both sides are shuffled by key and salt, so that a host with any
 share of the captures is split over `salts` tasks. One more exchange by row brings the keys of a capture together; its rows are combined before.
 
 Result: one row per capture: id, host, blocked, entry (the pattern that decided), category, listed_at; the last three null if no pattern was in force.
 
-Edge cases: a null or malformed URL has no host and is never blocked; a null fetch time matches nothing; repeated captures are rows of their own; of entries of a pattern
+Edge cases: a null or malformed URL has no host and is never blocked; a null fetch time matches nothing; repeated captures are rows of their own; very long URLs are matched whole; of entries of a pattern
 with the same date block wins over allow over remove, and equal entries count once; null patterns or dates are no entries. Empty captures or an empty list are fine. Other columns
 aren't read, whatever their names.
 """
@@ -60,16 +61,20 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 _HOST = r"rtrim('.', lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#]*)', 1), ':[0-9]*$', '')))"
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)"
-_SUFFIXES = "transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))"
-_PREFIXES = "transform(filter(sequence(2, size(steps)), i -> steps[i - 1] <> ''), i -> concat(host, array_join(slice(steps, 1, i), '/')))"
+_SUFFIXES = "transform(sequence(greatest(1, size(labels) - {labels} + 1), size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))"
+_PREFIXES = "transform(filter(sequence(2, least(size(steps), {steps})), i -> steps[i - 1] <> ''), i -> concat(host, array_join(slice(steps, 1, i), '/')))"
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str, time_col: str, broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
     rows = captures.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{time_col}`").alias("fetched"))
-    rows = rows.withColumn("host", F.expr(f"nullif({_HOST}, '')")).withColumn("labels", F.expr("split(host, '[.]')")).withColumn("steps", F.expr(f"split({_PATH}, '/')"))
-    keyed = rows.withColumn("key", F.expr(f"explode_outer(array_distinct(concat({_SUFFIXES}, if(size(steps) > 1, {_PREFIXES}, array()))))"))
-    keyed = keyed.select("uid", "id", "host", "fetched", "key")
     listed = intervals(entries)
+    # how deep the list goes: three numbers
+    deep = listed.agg(F.max(F.expr("size(split(pattern, '[.]'))")).alias("labels"), F.max(F.expr("size(split(pattern, '/'))")).alias("steps"), F.max(F.length("pattern")).alias("length")).first()
+    labels, steps, length = deep.labels or 0, deep.steps or 0, deep.length or 0
+    rows = rows.withColumn("host", F.expr(f"nullif({_HOST}, '')")).withColumn("labels", F.expr("split(host, '[.]')")).withColumn("steps", F.expr(f"split(left({_PATH}, {length + 1}), '/', {steps + 1})"))
+    keys = f"concat({_SUFFIXES.format(labels=max(1, labels))}, if(size(steps) > 1 and {steps} > 1, {_PREFIXES.format(steps=max(2, steps))}, array()))"
+    keyed = rows.withColumn("key", F.expr(f"explode_outer(filter(array_distinct({keys}), k -> length(k) <= {length}))"))
+    keyed = keyed.select("uid", "id", "host", "fetched", "key")
     if small_enough(listed, broadcast_rows):
         listed, same = F.broadcast(listed), F.col("key") == F.col("pattern")
     else:

@@ -48,3 +48,16 @@ def test_patterns_with_capitals_and_slashes(spark):
     urls = {"http://EXAMPLE.com/Ads/x": "example.com/Ads", "http://example.com/ads/x": None, "http://b.example/ads": "b.example/ads", "http://b.example/ads/y": "b.example/ads", "http://www.c.example/z": "c.example", "http://d.example/ADS": None}
     captures = spark.createDataFrame([(u, DAY) for u in urls], "url string, t date")
     assert {r.url: r.entry for r in U.filter_urls(captures.selectExpr("url as cid", "url", "t"), listed, "cid", "url", "t").withColumnRenamed("cid", "url").collect()} == urls
+
+
+def test_urls_deeper_than_the_list(spark):
+    """A URL of 20,000 steps asks for no more keys than the list is deep."""
+    long = "http://www.a.example/" + "x/" * 20_000
+    rows = [(1, long, "2024-01-01"), (2, "http://" + "b." * 3000 + "a.example/x/x", "2024-01-01"), (3, "http://a.example/x", "2024-01-01"), (4, "http://a.example/xy/x", "2024-01-01")]
+    captures = spark.createDataFrame(rows, "id long, url string, at string").selectExpr("id", "url", "cast(at as date) as at")
+    entries = spark.createDataFrame([("a.example", "allow", "c", "2023-01-01"), ("a.example/x/x/", "block", "c", "2023-01-01"), ("www.a.example/x/x/x", "block", "d", "2023-01-01")], "pattern string, action string, category string, at string").selectExpr("pattern", "action", "category", "cast(at as date) as at")
+    for limit in (1000, 0):
+        got = {r.id: (r.blocked, r.entry) for r in U.filter_urls(captures, entries, "id", "url", "at", broadcast_rows=limit).collect()}
+        assert got == {1: (True, "www.a.example/x/x/x"), 2: (False, "a.example"), 3: (False, "a.example"), 4: (False, "a.example")}
+    none = U.filter_urls(captures, entries.limit(0), "id", "url", "at").collect()
+    assert len(none) == 4 and not any(r.blocked for r in none)
