@@ -6,10 +6,11 @@ n-grams (1 to 3 words). Only n-grams that hold a licence word count, a word that
 left out of training. A paragraph that looks like a licence is given to a family only if its calibrated probability reaches the threshold and a template of
 that family confirms it by shared n-grams; else it is "unknown".
 
-A paragraph is a line; neighbouring lines that look like a licence but are not sure alone are judged together. Spans count code points.
+A paragraph is a line, or several if a notice is wrapped: lines that go on in the next one, comment marks left aside, are first judged together, and each alone if they aren't a known licence
+together; neighbouring lines that look like a licence but are not sure alone are judged together at last. Spans count code points.
 
 Edge cases: null and empty texts hold no licence; repeated rows get the same row each; an empty table gives an empty result; other columns aren't read. Training on an empty
-corpus uses the templates and built-in prose. Texts are scanned whole.
+corpus uses the templates and built-in prose. Texts are scanned whole. Rows that share an id count as one when paragraphs are sampled.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ TEMPLATES: dict[str, list[str]] = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy",
         "to deal in the Software without restriction",
         "copyright notice and this permission notice shall be included in all copies or substantial portions",
+        "of this software and associated documentation files (the Software)",
+        "including without limitation the rights to use, copy and modify",
+        "to permit persons to whom the Software is furnished to do so",
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -126,6 +130,22 @@ PROSE = [
     "The foundation gave its name to the hall and promoted products of the region.",
     "You may obtain a map of the common at the gate; the law requires it.",
 ]
+#: Short names of families, and forms in which they are put.
+NAMES: dict[str, list[str]] = {
+    "mit": ["MIT"],
+    "apache-2.0": ["Apache 2.0", "Apache-2.0", "Apache License 2.0"],
+    "gpl": ["GPLv3", "GPL v2", "GNU GPL", "GPL-2.0-only", "GNU General Public License"],
+    "lgpl": ["LGPLv3", "LGPL 2.1", "GNU LGPL"],
+    "agpl": ["AGPLv3", "AGPL-3.0", "GNU AGPL"],
+    "bsd": ["BSD", "BSD-2-Clause", "BSD 3-Clause", "New BSD"],
+    "mpl-2.0": ["MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0"],
+    "isc": ["ISC"],
+    "cc-by": ["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-3.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-SA-4.0"],
+    "public-domain": ["CC0", "Unlicense", "CC0-1.0"],
+}
+FORMS = ["License: {0}", "{0} licensed.", "{1} is {0} licensed.", "Licensed under {0}.", "{1} is covered by the {0} license.", "{0} license, see the file for details", "Published under the {0} License"]
 #: Forms of licences that belong to no family.
 FOREIGN = [
     "Licensed under the {0} License, version {1}.",
@@ -142,7 +162,7 @@ _NOTICE = frozenset(["rights", "reserved", "released"])
 
 @dataclass(frozen=True)
 class LicenseTraining:
-    """corpus_rows: documents from which ordinary paragraphs are taken, at most; paragraphs_per_row: from each. copies: variations of each template."""
+    """corpus_rows: documents from which ordinary paragraphs are taken, at most; paragraphs_per_row: from each, at most. copies: variations of each template. All paragraphs taken are learnt from."""
 
     corpus_rows: int = 400
     paragraphs_per_row: int = 4
@@ -208,11 +228,13 @@ def train(paragraphs: list[str], p: LicenseTraining = LicenseTraining(), templat
     families = [NONE, "unknown", *sorted(templates)]
     rows = [(_varied(t, rng, prose), families.index(f)) for f, texts in sorted(templates.items()) for t in texts for _ in range(p.copies)]
     rows += [(t, families.index(f)) for f, texts in sorted(templates.items()) for t in texts for _ in range(3)]
+    named = {f: [form.format(n, rng.choice(rng.choice(prose))) for n in NAMES.get(f, []) for form in FORMS] for f in templates}
+    rows += [(t, families.index(f)) for f, texts in sorted(named.items()) for t in texts for _ in range(3)]
     foreign = lambda: rng.choice(FOREIGN).format(" ".join(w.title() for w in rng.choice(prose)[: rng.randint(1, 3)]), rng.randint(1, 9))
     rows += [(_varied(foreign(), rng, prose), 1) for _ in range(300)]
     # single licence words strewn into prose are no licence
     rows += [(" ".join(w if rng.random() > 0.1 else rng.choice(sorted(words)) for w in rng.choice(prose)[:40]), 0) for _ in range(600)]
-    rows += [(t, 0) for t in ordinary[:400]] + [(t, 0) for t in PROSE for _ in range(10)]
+    rows += [(t, 0) for t in ordinary] + [(t, 0) for t in PROSE for _ in range(10)]
     rng.shuffle(rows)
     count = Counter(g for t, _ in rows for g in ngrams(tokens(t), words))
     features = {g: i for i, g in enumerate(sorted(g for g, k in count.items() if k >= 3))}
@@ -257,7 +279,7 @@ def train(paragraphs: list[str], p: LicenseTraining = LicenseTraining(), templat
     for k, f in enumerate(families[2:], 2):
         wrong = np.concatenate([q[(q.argmax(axis=1) == k) & (y != k), k], u[u[:, 1:].argmax(axis=1) + 1 == k, k]])
         thresholds[f] = float(min(0.97, max(0.5, np.quantile(wrong, 0.95)))) if len(wrong) else 0.5
-    grams = {f: [frozenset(ngrams(tokens(t))) for t in texts] for f, texts in templates.items()}
+    grams = {f: [frozenset(ngrams(tokens(t))) for t in [*texts, *NAMES.get(f, [])]] for f, texts in templates.items()}
     return LicenseModel(families, features, words, w, b, float(temperature), thresholds, grams)
 
 
@@ -297,25 +319,61 @@ def scan_text(text: str, m: LicenseModel) -> list[tuple[int, int, str]]:
         out.extend((a, b, "unknown") for a, b in unsure)
         unsure.clear()
 
-    for line in text.split("\n"):
-        family, _ = classify(line, m)
-        if family == "unknown":
-            unsure.append((at, at + len(line)))
-        else:
-            settle()
-            if family != NONE:
-                out.append((at, at + len(line), family))
-        at += len(line) + 1
+    for lines in _wrapped(text):
+        if len(lines) > 1:
+            a, b = lines[0][0], lines[-1][1]
+            family = NONE
+            if not m.words.isdisjoint(tokens(text[a:b])):
+                family, _ = classify("\n".join(text[x:y].lstrip(_MARKS) for x, y in lines), m)
+            if family not in (NONE, "unknown"):
+                settle()
+                out.append((a, b, family))
+                continue
+        for a, b in lines:
+            family, _ = classify(text[a:b], m)
+            if family == "unknown":
+                unsure.append((a, b))
+            else:
+                settle()
+                if family != NONE:
+                    out.append((a, b, family))
     settle()
     return out
 
 
+#: Marks of comments and lists before a line.
+_MARKS = " \t#/*;%!-|>\"'."
+#: How wide a line is at least that is wrapped, and at most.
+_WRAP = (40, 120)
+
+
+def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Lines of a text as (start, end), those of a wrapped paragraph together: a line goes on if it is about as wide as wrapped lines are, doesn't end a sentence, and isn't followed by an empty
+    one or one that begins a heading, a field or a list entry."""
+    at, group = 0, []
+    for line in text.split("\n"):
+        own = (at, at + len(line))
+        at += len(line) + 1
+        body = line.strip(_MARKS)
+        if group and not body:
+            yield group
+            group = []
+        group.append(own)
+        width = len(line.rstrip())
+        if not (body and _WRAP[0] <= width <= _WRAP[1] and line.rstrip(" \t*/")[-1:] not in ".!?:;"):
+            yield group
+            group = []
+    if group:
+        yield group
+
+
 def sample_paragraphs(docs: DataFrame, p: LicenseTraining = LicenseTraining(), id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """Paragraphs of at most corpus_rows documents, chosen by a hash of their ids."""
     source = two_columns(docs, id_col, text_col)
     chosen = source.select("id").orderBy(F.xxhash64("id"), "id").limit(p.corpus_rows)
-    lines = source.join(F.broadcast(chosen.distinct()), "id").select("id", F.expr(f"slice(filter(split(text, '\\n'), x -> length(x) between 20 and 600), 1, {p.paragraphs_per_row})").alias("lines"))
-    return sorted({t for r in lines.limit(2 * p.corpus_rows).collect() for t in r.lines or []})
+    some = F.expr(f"slice(filter(split(text, '\\n'), x -> length(x) between 20 and 600), 1, {p.paragraphs_per_row})")
+    lines = source.join(F.broadcast(chosen.distinct()), "id").select("id", some.alias("lines")).groupBy("id").agg(F.min("lines").alias("lines"))
+    return sorted({t for r in lines.collect() for t in r.lines or []})
 
 
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
