@@ -53,7 +53,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 #: The paths in the shared folder that were given out, by application, until they are discarded.
@@ -65,13 +67,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path that `shared_path` gave and nothing needs any more."""
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    if path in written:
+        written.remove(path)
+        _delete(spark, path)
+
+
 def discard(df: DataFrame) -> None:
-    """Delete an intermediate table that `materialize` gave and nothing needs any more."""
-    for path in df.inputFiles()[:1]:
-        folder = path.rpartition("/")[0]
-        for own in [x for x in _WRITTEN.get(df.sparkSession.sparkContext.applicationId, []) if x.rpartition("/")[2] == folder.rpartition("/")[2]]:
-            _WRITTEN[df.sparkSession.sparkContext.applicationId].remove(own)
-            _delete(df.sparkSession, own)
+    """Delete an intermediate table, as `materialize` gave it, that nothing needs any more."""
+    remove(df.sparkSession, df.written_at)
 
 
 class scratch:

@@ -1,7 +1,9 @@
 import collections
+import os
+import random
 
 import corpus_pipeline
-from columnaut.llm import mixing, near_dedup, packing, quality, secrets
+from columnaut.llm import common, mixing, near_dedup, packing, quality, secrets
 
 from .test_near_dedup import brute_classes
 
@@ -52,5 +54,45 @@ def test_every_stage_against_brute_force(spark, tmp_path):
         before = after
 
 
-def test_run(spark):
+def odd_rows(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice("river stone walks under light house green any town water bridge".split()) + str(rng.randrange(90)) for _ in range(n))
+    same = prose(120)
+    rows = [(1, prose(100), "a"), (2, None, "a"), (3, "", None), (4, same, "b"), (5, same, "b"), (4, same, "b"), (None, same, "b"), (None, prose(90), None), (6, prose(80) + " password=abcdefghijkl123", "a")]
+    rows += [(7, prose(70), "b"), (7, prose(75), "b"), (8, prose(30_000), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return docs.selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as bigint) as n_chars", "1 as piece", "'k' as key", "2 as node", "3 as s", "4 as length", "5 as __x")
+
+
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    docs = odd_rows(spark)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        if name == "best_fit_packing":
+            assert stage(spark, docs, SF).select("doc_id", "piece").count() >= docs.count()
+        else:
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}")
+            assert docs.columns == before.columns
+        got = sorted((r.doc_id or -1, len(r.text or "")) for r in docs.collect())
+        if name == "quality_rules":
+            assert [i for i, _ in got] == [-1, -1, 1, 4, 4, 5, 6, 7, 7, 8]
+        elif name in ("near_duplicates", "secret_scans"):
+            assert [i for i, _ in got] == [-1, 1, 4, 6, 7, 7, 8]  # the copy without an id goes, the other row without one stays
+        elif name == "mixing_sources":
+            assert {i for i, _ in got} <= {-1, 1, 4, 6, 7, 8}
+        if name == "secret_scans":
+            assert "abcdefghijkl123" not in " ".join(r.text for r in docs.collect())
+
+
+def test_every_stage_takes_an_empty_table(spark):
+    empty = odd_rows(spark).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
+def test_nothing_is_left_behind(spark):
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     assert corpus_pipeline.run(spark, SF).count() > 0
+    assert [x.partition("-")[0] + "-" + x.split("-")[1] for x in set(os.listdir(folder)) - before] == ["pipeline-best_fit_packing"]
