@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .control.engine import profile
 from .operators import anomalies, drift, meta, multivariate, plots, schema, summaries
-from .sources.readers import read_table
+from .sources.readers import Datasets, read_table, sample_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,7 +77,7 @@ def _(spark, sf):
 
 @query("dataset_shape", f"WITH e AS ({EVENTS}) SELECT count(*) AS num_rows, 5::BIGINT AS num_columns, round((count(*) * 3 - count(event_type) - count(value) - count(flag)) / (5.0 * count(*))::DOUBLE, 4) AS null_cell_share FROM e")
 def _(spark, sf):
-    return summaries.dataset_shape(events(spark, sf))
+    return summaries.dataset_shape(events(spark, sf)).drop("approx_memory_mb")  # an estimate of the optimizer
 
 
 @query(
@@ -380,9 +386,32 @@ def _(spark, sf):
     return rounded(rounded(found, 4, "chi2"), 6, "v")
 
 
-@query("reliability_warnings")
+def _warnings_sql(t: str, columns) -> str:
+    flags = union(
+        *(
+            f"""SELECT '{c}' AS c, count({c}) < 30 AS low, coalesce(stddev_samp({c}) < 1e-8, false) AS zero_variance, coalesce(abs(skewness({c})) > 2, false) AS high_skew,
+        max(abs({c} - (SELECT median({c}::DOUBLE) FROM {t}))) / (CASE WHEN mad({c}::DOUBLE) = 0 THEN 1e-8 ELSE mad({c}::DOUBLE) END) > 3 AS extreme_outliers FROM {t}"""
+            for c in columns
+        )
+    )
+    codes = union(
+        "SELECT 'strong' AS level, 'low_row_count' AS code, string_agg(c, ',' ORDER BY c) AS \"columns\" FROM f HAVING bool_or(low)",
+        "SELECT 'strong', 'zero_variance', string_agg(c, ',' ORDER BY c) FROM f WHERE zero_variance HAVING count(*) > 0",
+        *(f"SELECT CASE WHEN bool_or(low) THEN 'strong' ELSE 'heuristic' END, CASE WHEN bool_or(low) THEN '{x}_low_n' ELSE '{x}' END, string_agg(c, ',' ORDER BY c) FROM f WHERE {x} HAVING count(*) > 0" for x in ("extreme_outliers", "high_skew")),
+    )
+    return f"f AS ({flags}) {codes}"
+
+
+@query("reliability_warnings", "WITH e AS (SELECT event_id, user_id, value, 7 AS same, value * value * value AS cubed FROM events), " + _warnings_sql("e", ("event_id", "user_id", "value", "same", "cubed")))
+def _(spark, sf):
+    t = table(spark, sf, "events").selectExpr("event_id", "user_id", "value", "7 as same", "value * value * value as cubed")
+    return multivariate.reliability_warnings(t).withColumn("columns", F.array_join("columns", ","))
+
+
+@query("reliability_warnings_few_rows", "WITH e AS (SELECT n_nationkey, n_regionkey, CASE WHEN n_nationkey = 3 THEN 100000 ELSE n_nationkey END AS far FROM nation), " + _warnings_sql("e", ("n_nationkey", "n_regionkey", "far")))
 def _(spark, sf):
-    return multivariate.reliability_warnings(table(spark, sf, "events"))
+    t = table(spark, sf, "nation").selectExpr("n_nationkey", "n_regionkey", "if(n_nationkey = 3, 100000, n_nationkey) as far")
+    return multivariate.reliability_warnings(t).withColumn("columns", F.array_join("columns", ","))
 
 
 # of three columns, from the correlations of the columns as they stand (not centred): the inverse has a closed form
@@ -472,6 +501,18 @@ def _(spark, sf):
     return rounded(rounded(drift.category_drift(*halves(spark, sf), ["event_type"]), 6, "tvd", "entropy_delta"), 4, "chi2", "goodness_chi2")
 
 
+@query(
+    "category_drift_two_values",
+    f"""WITH v AS (SELECT CASE WHEN event_type IN ('view', 'click') THEN 'a' ELSE 'b' END AS v, count(*) FILTER ({HALF_NOW})::DOUBLE AS c, count(*) FILTER ({HALF_THEN})::DOUBLE AS r FROM events WHERE event_id % 3 <> 0 OR {HALF_NOW} GROUP BY 1), t AS (SELECT sum(c) AS nc, sum(r) AS nr FROM v),
+    d AS (SELECT *, (c + r) * nc / (nc + nr) AS ec, (c + r) * nr / (nc + nr) AS er, abs(c - (c + r) * nc / (nc + nr)) AS a FROM v, t)
+    SELECT 'event_type' AS "column", round(sum(abs(r / nr - c / nc)) / 2, 6) AS tvd, round(sum((a - least(a, 0.5)) ** 2 / ec + (a - least(a, 0.5)) ** 2 / er), 4) AS chi2, 1::BIGINT AS dof FROM d""",
+)
+def _(spark, sf):
+    t = table(spark, sf, "events").selectExpr("ts", "event_id", "if(event_type in ('view', 'click'), 'a', 'b') as event_type")
+    found = drift.category_drift(t.where(HALF_NOW), t.where(HALF_THEN).where("event_id % 3 <> 0"), ["event_type"]).select("column", "tvd", "chi2", "dof")
+    return rounded(rounded(found, 6, "tvd"), 4, "chi2")
+
+
 @query("population_stability", union(*(f"""SELECT '{c}' AS "column", round(psi, 6) AS psi FROM {_psi_sql(c)}""" for c in ("user_id", "value"))))
 def _(spark, sf):
     return rounded(drift.psi(*halves(spark, sf), ["user_id", "value"]), 6, "psi")
@@ -487,9 +528,17 @@ def _(spark, sf):
     return rounded(drift.target_drift(*halves(spark, sf), "value").select("column", "type", "psi", "ks_statistic"), 6, "psi", "ks_statistic")
 
 
-@query("target_drift_categorical")
+# with 4 degrees of freedom the tail of chi-squared has a closed form
+@query(
+    "target_drift_categorical",
+    f"""WITH v AS (SELECT event_type AS v, count(*) FILTER ({HALF_NOW})::DOUBLE AS c, count(*) FILTER ({HALF_THEN})::DOUBLE AS r FROM events GROUP BY 1), t AS (SELECT sum(c) AS nc, sum(r) AS nr FROM v),
+    m AS (SELECT sum(abs(r / nr - c / nc)) / 2 AS tvd, sum((c - r * nc / nr) ** 2 / (r * nc / nr)) AS x, abs(-sum((c / nc + 1e-6) * ln(c / nc + 1e-6)) + sum((r / nr + 1e-6) * ln(r / nr + 1e-6))) AS e, count(*) AS k FROM v, t),
+    p AS (SELECT *, CASE WHEN k = 5 THEN exp(-x / 2) * (1 + x / 2) END AS p FROM m)
+    SELECT 'event_type' AS "column", 'categorical' AS type, NULL::DOUBLE AS psi, NULL::DOUBLE AS ks_statistic, NULL::DOUBLE AS ks_p, round(tvd, 6) AS tvd, round(p, 6) AS chi2_p, round(e, 6) AS entropy_delta,
+    CASE WHEN p < 0.025 OR e > 1 THEN 'significant' WHEN p < 0.05 OR e > 0.5 THEN 'moderate' ELSE 'none' END AS drift FROM p""",
+)
 def _(spark, sf):
-    return drift.target_drift(*halves(spark, sf), "event_type")
+    return rounded(drift.target_drift(*halves(spark, sf), "event_type"), 6, "tvd", "chi2_p", "entropy_delta")
 
 
 # --- meta, plots, sources ------------------------------------------------------------------------------------------------------------------------------
@@ -557,3 +606,104 @@ def _(spark, sf):
     from .control import registry
 
     return registry.catalogue(spark)
+
+
+# --- sources and the control plane ---------------------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or in a temporary folder in local runs without it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/columnaut-{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "read_csv",
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS c_name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, c_custkey % 2 = 0 AS even, c_mktsegment || ',' || c_nationkey AS both FROM customer""",
+)
+def _(spark, sf):
+    """Missing values by several names, quoted commas, and types told from the text."""
+    path = _folder(spark, "csv") + ".csv"
+    t = table(spark, sf, "customer")
+    t.selectExpr(
+        "c_custkey", "if(c_custkey % 5 = 0, element_at(array('NA', 'null', '', 'NaN', 'N/A'), cast(c_custkey div 5 % 5 + 1 as int)), c_name) as c_name", "if(c_custkey % 7 = 0, 'nan', cast(c_acctbal as string)) as c_acctbal",
+        "cast(c_custkey % 2 = 0 as string) as even", "concat(c_mktsegment, ',', c_nationkey) as both",
+    ).write.option("header", True).option("emptyValue", "").csv(path)
+    return read_table(spark, path)
+
+
+@query("data_sets", "SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'region', (SELECT count(*) FROM region)")
+def _(spark, sf):
+    """Named data sets of a folder, loaded by their names."""
+    known = Datasets(spark)
+    for name in ("nation", "region"):
+        known.register(name, f"{sf}/{name}.parquet")
+    parts = [known.load(n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in ("nation", "region")]
+    return parts[0].union(parts[1])
+
+
+@query("sample_rows_head", "SELECT least(count(*), 500) AS n, least(count(*), 500) AS distinct_keys, count(*) AS original_rows, least(count(*), 500) AS sampled_rows, 'head' AS strategy FROM orders")
+def _(spark, sf):
+    got, about = sample_rows(table(spark, sf, "orders"), 500)
+    about = about or {"original_rows": got.count(), "sampled_rows": got.count(), "strategy": "head"}
+    return got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("distinct_keys")).select("n", "distinct_keys", *(F.lit(about[k]).cast("long").alias(k) for k in ("original_rows", "sampled_rows")), F.lit(about["strategy"]).alias("strategy"))
+
+
+_RUN = {"task_selection": {"include": ["summarize_nulls", "summarize_unique", "detect_id_columns", "compare_with_reference_dataset"]}, "metadata": {"message_verbosity": "quiet"}}
+
+
+@query("run_of_selected_tasks", "SELECT * FROM (VALUES ('infer_types', 'success'), ('summarize_nulls', 'success'), ('summarize_unique', 'success'), ('detect_id_columns', 'success'), ('compare_with_reference_dataset', 'skipped')) t(task, status)")
+def _(spark, sf):
+    """A run takes the tasks that are selected and those that they depend on; without a reference the comparison has nothing to look at."""
+    found = profile(spark, f"{sf}/nation.parquet", _RUN)
+    return spark.createDataFrame([(n, r.status) for n, r in found.items()], "task string, status string")
+
+
+@query("run_distinct_counts", union(*(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique FROM customer""" for c in _CUSTOMER)))
+def _(spark, sf):
+    """What a run reports is what the operator gives alone, though the run shares its statistics."""
+    return profile(spark, f"{sf}/customer.parquet", _RUN)["summarize_unique"].frame
+
+
+@query("run_against_reference", """SELECT 'added' AS change, 'n_regionkey' AS "column" UNION ALL SELECT 'dropped', 'r_name' UNION ALL SELECT 'shared', 'k' UNION ALL SELECT 'type_mismatch', 'name'""")
+def _(spark, sf):
+    now = table(spark, sf, "nation").selectExpr("n_regionkey as k", "n_name as name", "n_regionkey")
+    then = table(spark, sf, "region").selectExpr("r_regionkey as k", "r_regionkey as name", "r_name")
+    return profile(spark, now, _RUN, reference=then)["compare_with_reference_dataset"].frame.select("change", "column")
+
+
+@query(
+    "run_reports",
+    """SELECT * FROM (VALUES ('report.json', 'summarize_nulls', 'success'), ('report.json', 'infer_types', 'success'), ('report.json', 'detect_constant_columns', 'success'), ('report.json', 'top risk: detect_constant_columns', NULL),
+    ('metadata_report.json', 'constant', 'categorical'), ('runs.json', 'runs', '1'), ('dag.dot', 'infer_types -> summarize_nulls', NULL), ('dag.dot', 'infer_types -> detect_constant_columns', NULL)) t(report, entry, value)""",
+)
+def _(spark, sf):
+    """What a run writes: results, top risks, types, history and the graph of its tasks."""
+    with tempfile.TemporaryDirectory() as folder:  # on the driver alone, which writes the reports
+        t = table(spark, sf, "nation").selectExpr("n_name", "true as constant")
+        profile(spark, t, {"task_selection": {"include": ["summarize_nulls", "detect_constant_columns"]}, "metadata": {"output_dir": folder, "message_verbosity": "quiet"}})
+        read = lambda name: json.loads((Path(folder) / name).read_text())
+        report, about = read("report.json"), read("metadata_report.json")
+        rows = [("report.json", n, r["status"]) for n, r in report["results"].items()] + [("report.json", f"top risk: {r['task']}", None) for r in report["top_ml_risks"]]
+        rows += [("metadata_report.json", "constant", about["semantic_types"]["constant"]), ("runs.json", "runs", str(len(read("runs.json"))))]
+        rows += [("dag.dot", f"{a} -> {b}", None) for a, b in re.findall(r'"(\w+)" -> "(\w+)"', (Path(folder) / "dag.dot").read_text())]
+    return spark.createDataFrame(rows, "report string, entry string, value string")
+
+
+@query("plugin_coverage", "SELECT NULL::VARCHAR AS plugin, NULL::VARCHAR AS warning WHERE false")
+def _(spark, sf):
+    """No plugin file is loaded that registers nothing."""
+    return profile(spark, f"{sf}/region.parquet", {"task_selection": {"include": ["validate_plugin_coverage"]}, "metadata": {"message_verbosity": "quiet"}})["validate_plugin_coverage"].frame
+
+
+@query(
+    "schema_validation_mixed_types",
+    f"""WITH v AS (SELECT CASE WHEN event_id % 10 = 0 THEN 'datetime' WHEN event_id % 10 = 1 THEN 'string' WHEN event_id % 10 = 2 THEN 'float' WHEN event_id % 10 = 3 THEN 'bool' ELSE 'int' END AS kind FROM events)
+    SELECT 'mixed_types' AS "check", 'v' AS "column", kind || ' beside int' AS detail, count(*) AS n FROM v WHERE kind <> 'int' GROUP BY kind""",
+)
+def _(spark, sf):
+    return schema.validate_schema(table(spark, sf, "events").selectExpr(f"{_MIXED.format(s='STRING')} as v", "event_type"), {"mixed_types": True})

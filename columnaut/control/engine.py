@@ -19,15 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import __version__
 from ..operators import meta, schema
 from ..operators.multivariate import reliability_warnings
+from ..plans.fused import Shared
 from ..sources.readers import Datasets, as_frame, sample_rows
-from . import registry
+from . import layout, registry
 from .registry import DEPTHS, TASKS, TaskSpec
 from .results import TaskResult, plain
 
 LEVELS = {"quiet": 100, "warn": logging.WARNING, "stage": 25, "info": 15, "debug": logging.DEBUG}
 
 DEFAULTS: dict[str, Any] = {
-    "metadata": {"dataset_path": None, "dataset_name": None, "output_dir": None, "message_verbosity": "info"},
+    "metadata": {"dataset_path": None, "dataset_name": None, "output_dir": None, "message_verbosity": "info", "layout_name": "default"},
     "engine": {"profiling_depth": "standard", "reference_dataset_path": None, "enable_impact_scoring": True, "exact_quantiles": True, "order_by": [], "target_column": None, "cache": False, "stage_inference": {}},
     "resource_limits": {"enable_sampling": False, "sample_threshold_rows": 1_000_000, "sampling_strategy": "head", "max_memory_gb": 8, "max_runtime_seconds": None},
     "safety": {"strict_mode": False},
@@ -237,8 +238,9 @@ class Engine:
         context.metadata["sampling"] = sampled
         tasks = plan_tasks(self.config)
         outcome: dict[str, str] = {}
-        for name, task in tasks.items():
-            outcome[name] = self._one(task, context, outcome)
+        with Shared(df):
+            for name, task in tasks.items():
+                outcome[name] = self._one(task, context, outcome)
         context.metadata |= {"outcomes": outcome, "durations": context.seconds, "peak_rss_mb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, "seconds": time.time() - began, "run": self._about()}
         if self.config["engine"].get("cache"):
             df.unpersist()
@@ -291,9 +293,11 @@ class Engine:
         from .tasks import DIAGNOSTIC
 
         assert self.context and self.output
+        self.context.metadata["layout_name"] = self.config["metadata"].get("layout_name")
         dicts = {n: r.to_dict() for n, r in self.context.results.items()}
         risks = sorted(({"task": n, "score": r.score, "recommendations": r.recommendations} for n, r in self.context.results.items() if r.score is not None), key=lambda x: (-x["score"], x["task"]))
-        report = {"results": {n: d for n, d in dicts.items() if n not in DIAGNOSTIC}, "top_ml_risks": risks}
+        arranged = layout.arrange(layout.load_layout(self.config["metadata"].get("layout_name") or "default"), [n for n in dicts if n not in DIAGNOSTIC])
+        report = {"layout": arranged, "results": {n: d for n, d in dicts.items() if n not in DIAGNOSTIC}, "top_ml_risks": risks}
         (self.output / "report.json").write_text(json.dumps(plain(report), indent=1))
         (self.output / "metadata_report.json").write_text(json.dumps(plain(self.context.metadata | {"diagnostic_results": {n: d for n, d in dicts.items() if n in DIAGNOSTIC}}), indent=1))
         (self.output / "dag.dot").write_text(dag_dot(tasks))

@@ -16,6 +16,15 @@ def _count(frame: DataFrame, condition: str = "true") -> int:
     return frame.where(condition).count()
 
 
+#: Results up to so many rows are run once and kept, since figures, scores and reports look at them several times.
+SETTLED_ROWS = 1000
+
+
+def _settled(frame: DataFrame) -> DataFrame:
+    rows = frame.limit(SETTLED_ROWS + 1).collect()
+    return frame if len(rows) > SETTLED_ROWS else frame.sparkSession.createDataFrame(rows, frame.schema)
+
+
 def _task(name: str, build, figures=None, finds=None, **spec):
     """Register a task. build(context): the frame. figures(frame, context): numbers for the rules. finds(figures): whether the finding counts for the impact score."""
 
@@ -23,7 +32,8 @@ def _task(name: str, build, figures=None, finds=None, **spec):
         frame = build(context)
         if frame is None:
             return TaskResult(name, "skipped", "nothing to look at with these settings")
-        result = TaskResult(name, frame=frame)
+        result = TaskResult(name, frame=_settled(frame))
+        frame = result.frame
         if figures:
             result.figures = figures(frame, context)
             result.summary = ", ".join(f"{k} = {v}" for k, v in result.figures.items())

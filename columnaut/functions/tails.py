@@ -47,10 +47,10 @@ def kolmogorov_sf(x: float) -> float:
 
 
 def ks_two_sample_p(d: float, n: int, m: int, exact_up_to: int = 10_000) -> float:
-    """Two-sided p-value of the two-sample statistic d. Exact, by counting lattice paths, for samples of a size product up to `exact_up_to` squared; else by the limit."""
+    """Two-sided p-value of the two-sample statistic d. Exact, by counting lattice paths, if neither sample has more than `exact_up_to` values; else by the limit."""
     if not n or not m:
         return 1.0
-    if max(n, m) <= exact_up_to and n * m <= 4_000_000:
+    if max(n, m) <= exact_up_to:
         return _exact_ks(d, n, m)
     return kolmogorov_sf(math.sqrt(n * m / (n + m)) * d)
 
@@ -64,21 +64,16 @@ def _exact_ks(d: float, n: int, m: int) -> float:
         return 1.0
     import numpy as np
 
-    # inside[j]: probability that a random path reaches (i, j) without leaving the band, scaled by the chance of passing there
-    j = np.arange(m + 1)
-    row = np.where(np.abs(j * (lcm // m)) < h, 1.0, 0.0)
-    row = np.minimum.accumulate(row)
-    for i in range(1, n + 1):
-        ok = np.abs(i * (lcm // n) - j * (lcm // m)) < h
-        # P(i, j) = (i P(i-1, j) + j P(i, j-1)) / (i + j), 0 outside of the band
-        up = row * i / (i + j)
-        new = np.zeros(m + 1)
-        lo = int(np.argmax(ok)) if ok.any() else m + 1
-        last = 0.0
-        for k in range(lo, m + 1):
-            if not ok[k]:
-                break
-            last = up[k] + (last * k / (i + k) if k else 0.0)
-            new[k] = last
-        row = new
-    return float(min(1.0, max(0.0, 1 - row[m])))
+    # inside[i] after s steps: the chance that a random path of n steps right and m up passes (i, s - i), and never left the band before; one diagonal at a time
+    i = np.arange(n + 1)
+    inside = np.zeros(n + 1)
+    inside[0] = 1.0
+    for s in range(1, n + m + 1):
+        lo, hi = max(0, s - m), min(n, s)
+        k = i[lo : hi + 1]
+        # the last step came from the left with chance i / s, from below with chance (s - i) / s
+        new = inside[lo : hi + 1] * (s - k)
+        new[max(0, 1 - lo) :] += inside[max(lo, 1) - 1 : hi] * k[max(0, 1 - lo) :]
+        new[np.abs(k * (lcm // n) - (s - k) * (lcm // m)) >= h] = 0.0
+        inside[lo : hi + 1] = new / s
+    return float(min(1.0, max(0.0, 1 - inside[n])))

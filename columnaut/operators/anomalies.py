@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import BASE64, HEX, UUID, number_where
-from ..plans.columns import as_text, complete_rows, every, numeric, ref, strings
-from ..plans.fused import distinct_counts, frequencies, melted, per_column, quantiles
+from ..plans.columns import as_text, complete_rows, every, numeric, ref, strings, value
+from ..plans.fused import AGGREGATES_A_PASS, distinct_counts, frequencies, melted, per_column, quantiles
 from .summaries import most_frequent
 
 
@@ -31,14 +32,15 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str] | None = None, factor:
 
 def outliers(df: DataFrame, columns: Sequence[str] | None = None, flag_threshold: float = 0.01, factor: float = 1.5, exact: bool = True) -> DataFrame:
     """outlier_count, lower, upper, and flagged: more than flag_threshold of all rows, nulls among them, are outliers."""
-    names = numeric(df, columns)
-    bounds = outlier_bounds(df, names, factor, exact)
-    rows = melted(df, names, ref, "double").join(F.broadcast(bounds), "column")
-    return (
-        rows.groupBy("column")
-        .agg(number_where((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).alias("outlier_count"), F.first("lower").alias("lower"), F.first("upper").alias("upper"), F.count(F.lit(1)).alias("_n"))
-        .select("column", "outlier_count", "lower", "upper", (F.col("outlier_count") > flag_threshold * F.col("_n")).alias("flagged"))
-    )
+    # the bounds, two numbers per column, are literals of the pass that counts
+    bounds = [(r.column, r.lower, r.upper) for r in outlier_bounds(df, columns, factor, exact).collect()]
+    parts = [df.sparkSession.createDataFrame([], "column string, outlier_count bigint, lower double, upper double, flagged boolean")]
+    for k in range(0, len(bounds), AGGREGATES_A_PASS):
+        some = bounds[k : k + AGGREGATES_A_PASS]
+        wide = df.agg(F.count(F.lit(1)).alias("_n"), *(number_where((value(df, c) < F.lit(lo)) | (value(df, c) > F.lit(hi))).cast("long").alias(f"_{i}") for i, (c, lo, hi) in enumerate(some)))
+        rows = (F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("outlier_count"), F.lit(lo).alias("lower"), F.lit(hi).alias("upper"), (F.col(f"_{i}") > flag_threshold * F.col("_n")).alias("flagged")) for i, (c, lo, hi) in enumerate(some))
+        parts.append(wide.select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.union, parts[1:] or parts)
 
 
 def outlier_rows(df: DataFrame, column: str, factor: float = 1.5, exact: bool = True) -> DataFrame:
@@ -72,7 +74,7 @@ def bimodal(df: DataFrame, columns: Sequence[str] | None = None, bic_threshold:
     out: list[tuple] = []
     if names:
         limits = per_column(df, names, {"n": F.count, "lo": lambda c: F.min(c).cast("double"), "hi": lambda c: F.max(c).cast("double")}, "n bigint, lo double, hi double").where("n >= 10 and hi > lo")
-        rows = melted(df, names, ref, "double").where("value is not null").join(F.broadcast(limits), "column")
+        rows = melted(df, names, lambda c: value(df, c), "double").where("value is not null").join(F.broadcast(limits), "column")
         place = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
         cells = rows.groupBy("column", place.alias("bin")).agg(F.count(F.lit(1)).alias("k"), F.avg("value").alias("x")).collect()  # at most bins rows a column
         for name in names:

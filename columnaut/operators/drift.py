@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.tails import chi2_sf, ks_two_sample_p
-from ..plans.columns import as_text, every, is_nested, numeric
+from ..plans.columns import as_text, every, is_nested, numeric, value
 from ..plans.fused import melted, per_column
 
 
@@ -29,9 +29,7 @@ def _numeric(df: DataFrame, reference: DataFrame, columns: Sequence[str] | None)
 
 def _values(df: DataFrame, reference: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column, value, cur, ref): how often each number occurs on both sides; counted before anything is ordered."""
-    from ..plans.columns import ref as column
-
-    side = lambda t, c, r: melted(t, names, column, "double").where("value is not null").select("column", "value", F.lit(c).alias("c"), F.lit(r).alias("r"))
+    side = lambda t, c, r: melted(t, names, lambda x: value(t, x), "double").where("value is not null").select("column", "value", F.lit(c).alias("c"), F.lit(r).alias("r"))
     both = side(df, 1, 0).union(side(reference, 0, 1))
     return both.groupBy("column", "value").agg(F.sum("c").alias("cur"), F.sum("r").alias("ref"))
 
@@ -57,11 +55,14 @@ def psi(df: DataFrame, reference: DataFrame, columns: Sequence[str] | None = Non
     return all_bins.groupBy("column").agg(F.sum((p - q) * F.ln(p / q)).alias("psi"))
 
 
-def ks_statistics(df: DataFrame, reference: DataFrame, columns: Sequence[str] | None = None, buckets: int = 64) -> DataFrame:
+def ks_statistics(df: DataFrame, reference: DataFrame, columns: Sequence[str] | None = None, range_rows: int = 250_000, most_ranges: int = 20_000) -> DataFrame:
     """(column, d, n_ref, n_cur): the two-sample Kolmogorov-Smirnov statistic. Counts of values are dealt into ranges first, whose totals are summed up, so the running sums need the
-    values of one range only."""
+    values of one range only. The number of ranges follows from the rows, range_rows in each, about."""
     names = _numeric(df, reference, columns)
     counted = _values(df, reference, names)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, d double, n_ref bigint, n_cur bigint")
+    buckets = min(most_ranges, max(16, -(-(df.count() + reference.count()) // range_rows)))
     cuts = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
     splits = counted.groupBy("column").agg(F.percentile_approx("value", cuts, 20 * buckets).alias("splits"), F.sum("cur").alias("nc"), F.sum("ref").alias("nr")).where("nc > 0 and nr > 0")
     dealt = counted.join(F.broadcast(splits), "column").withColumn("bucket", F.expr("size(filter(splits, x -> x < value))")).drop("splits")
@@ -75,17 +76,20 @@ def ks_statistics(df: DataFrame, reference: DataFrame, columns: Sequence[str] |
 
 
 def category_drift(df: DataFrame, reference: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, tvd, chi2, dof, goodness_chi2, goodness_dof, entropy_delta): total variation distance of the value shares; chi-squared of the contingency table; chi-squared of the
+    """(column, tvd, chi2, dof, goodness_chi2, goodness_dof, entropy_delta): total variation distance of the value shares; chi-squared of the contingency table, corrected after Yates at one degree
+    of freedom; chi-squared of the
     current counts against the reference's scaled to the same total; difference of the entropies (natural logarithm, shares plus 1e-6)."""
     names = [c for c in _shared(df, reference, columns) if not isinstance(df.schema[c].dataType, T.NumericType) and not is_nested(df.schema[c].dataType)]
     side = lambda t, c, r: melted(t, names, lambda x: as_text(t, x)).where("value is not null").select("column", "value", F.lit(c).alias("c"), F.lit(r).alias("r"))
     counted = side(df, 1, 0).union(side(reference, 0, 1)).groupBy("column", "value").agg(F.sum("c").alias("cur"), F.sum("r").alias("ref"))
-    totals = counted.groupBy("column").agg(F.sum("cur").alias("nc"), F.sum("ref").alias("nr")).where("nc > 0 and nr > 0")
+    totals = counted.groupBy("column").agg(F.sum("cur").alias("nc"), F.sum("ref").alias("nr"), F.count(F.lit(1)).alias("values")).where("nc > 0 and nr > 0")
     rows = counted.join(F.broadcast(totals), "column")
     p, q = F.col("ref") / F.col("nr"), F.col("cur") / F.col("nc")
     n = F.col("nc") + F.col("nr")
     ec, er = (F.col("cur") + F.col("ref")) * F.col("nc") / n, (F.col("cur") + F.col("ref")) * F.col("nr") / n
-    cell = (F.col("cur") - ec) ** 2 / ec + (F.col("ref") - er) ** 2 / er
+    away = F.abs(F.col("cur") - ec)  # on both sides alike
+    away = F.when(F.col("values") == 2, away - F.least(F.lit(0.5), away)).otherwise(away)
+    cell = away**2 / ec + away**2 / er
     expected = F.col("ref") * F.col("nc") / F.col("nr")
     goodness = F.when(F.col("ref") > 0, (F.col("cur") - expected) ** 2 / expected)
     bits = lambda x: -F.sum((x + 1e-6) * F.ln(x + 1e-6))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.columns import as_text, complete_rows, numeric, ref, strings
+from ..plans.columns import as_text, complete_rows, numeric, ref, strings, value
 from ..plans.fused import distinct_counts, per_column, quantiles
 
 PAIRS_A_PASS = 300
@@ -36,7 +36,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     parts = []
     for k in range(0, len(pairs), PAIRS_A_PASS):
         some = pairs[k : k + PAIRS_A_PASS]
-        wide = df.agg(*(r(ref(a), ref(b)).alias(f"_{i}") for i, (a, b) in enumerate(some)))
+        wide = df.agg(*(r(value(df, a), value(df, b)).alias(f"_{i}") for i, (a, b) in enumerate(some)))
         parts.append(wide.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(some))))))
     return reduce(DataFrame.union, parts)
 
@@ -58,28 +58,28 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = None, col
     schema = "a string, b string, n bigint, chi2 double, dof bigint, v double"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    out = []
-    for a, b in pairs:
-        cells = contingency(df, a, b)
-        rows = cells.groupBy("x").agg(F.sum("n").alias("rx"))
-        cols = cells.groupBy("y").agg(F.sum("n").alias("ry"))
-        joined = cells.join(rows, "x").join(cols, "y")
-        sums = joined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("rx") * F.col("ry"))).alias("s"), F.min("rx").alias("rx0"), F.min("ry").alias("ry0"), F.max(F.struct("x", "y", "n", "rx", "ry")).alias("last"))
-        shape = rows.agg(F.count(F.lit(1)).alias("r")).join(F.broadcast(cols.agg(F.count(F.lit(1)).alias("k"))))
-        one = sums.join(F.broadcast(shape))
-        n = F.col("n").cast("double")
-        plain = n * (F.col("s") - 1)
-        # in a two-by-two table all |o - e| are equal
-        expected = F.col("last.rx") * F.col("last.ry") / n
-        d = F.abs(F.col("last.n") - expected)
-        d = d - F.least(F.lit(0.5), d) if yates else d
-        rx, ry = F.col("last.rx").cast("double"), F.col("last.ry").cast("double")
-        square = d * d * n * n * n / (rx * (n - rx) * ry * (n - ry))
-        chi2 = F.when((F.col("r") == 2) & (F.col("k") == 2), square).when((F.col("r") < 2) | (F.col("k") < 2), F.lit(0.0)).otherwise(F.greatest(plain, F.lit(0.0)))
-        least = F.least("r", "k") - 1
-        v = F.when((n > 0) & (least > 0), F.sqrt(F.col("chi2") / n / least)).otherwise(F.lit(0.0))
-        out.append(one.withColumn("chi2", chi2).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "chi2", ((F.col("r") - 1) * (F.col("k") - 1)).alias("dof"), v.alias("v")))
-    return reduce(DataFrame.union, out)
+    # all tables are counted in one exchange, and the margins come from the counted cells
+    rows = F.array(*(F.struct(F.lit(i).alias("p"), as_text(df, a).alias("x"), as_text(df, b).alias("y")) for i, (a, b) in enumerate(pairs)))
+    cells = df.select(F.inline(rows)).where("x is not null and y is not null").groupBy("p", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    across, down = cells.groupBy("p", "x").agg(F.sum("n").alias("rx")), cells.groupBy("p", "y").agg(F.sum("n").alias("ry"))
+    sums = cells.join(across, ["p", "x"]).join(down, ["p", "y"]).groupBy("p")
+    sums = sums.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("rx") * F.col("ry"))).alias("s"), F.max(F.struct("x", "y", "n", "rx", "ry")).alias("last"))
+    shape = across.groupBy("p").agg(F.count(F.lit(1)).alias("r")).join(F.broadcast(down.groupBy("p").agg(F.count(F.lit(1)).alias("k"))), "p")
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "p int, a string, b string")
+    one = names.join(F.broadcast(sums.join(F.broadcast(shape), "p")), "p", "left").withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "r": F.coalesce("r", F.lit(0).cast("long")), "k": F.coalesce("k", F.lit(0).cast("long"))})
+    n = F.col("n").cast("double")
+    plain = n * (F.col("s") - 1)
+    # in a two-by-two table all |o - e| are equal
+    rx, ry = F.col("last.rx").cast("double"), F.col("last.ry").cast("double")
+    d = F.abs(F.col("last.n") - rx * ry / n)
+    d = d - F.least(F.lit(0.5), d) if yates else d
+    square = d * d * n * n * n / (rx * (n - rx) * ry * (n - ry))
+    chi2 = F.when((F.col("r") == 2) & (F.col("k") == 2), square).when((F.col("r") < 2) | (F.col("k") < 2), F.lit(0.0)).otherwise(F.greatest(plain, F.lit(0.0)))
+    least = F.least("r", "k") - 1
+    v = F.when((n > 0) & (least > 0), F.sqrt(F.col("chi2") / n / least)).otherwise(F.lit(0.0))
+    # without a row in common there is no table: 0 degrees of freedom
+    dof = F.when(F.col("n") > 0, (F.col("r") - 1) * (F.col("k") - 1)).otherwise(F.lit(0)).cast("long")
+    return one.withColumn("chi2", chi2).select("a", "b", "n", "chi2", dof.alias("dof"), v.alias("v"))
 
 
 def gram(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[list[str], np.ndarray, int]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.columns import numeric, ref
+from ..plans.columns import numeric, value
 from ..plans.fused import melted, per_column, quantiles
 from .multivariate import correlations
 from .summaries import missing_together, null_patterns, value_counts
@@ -19,7 +19,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
     ends = per_column(df, names, {"lo": lambda c: F.min(c).cast("double"), "hi": lambda c: F.max(c).cast("double")}, "lo double, hi double").where("lo is not null")
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0 / bins))
     ends = ends.withColumn("w", width)
-    rows = melted(df, names, ref, "double").where("value is not null").join(F.broadcast(ends), "column")
+    rows = melted(df, names, lambda c: value(df, c), "double").where("value is not null").join(F.broadcast(ends), "column")
     place = F.least(F.floor((F.col("value") - F.col("lo")) / F.col("w")), F.lit(bins - 1)).cast("int")
     counted = rows.groupBy("column", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every_bin = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
@@ -32,7 +32,7 @@ def boxplot(df: DataFrame, columns: Sequence[str] | None = None, factor: float =
     names = numeric(df, columns)
     q = quantiles(df, names, (0.25, 0.5, 0.75), exact).where("n > 0").select("column", *(F.col("q")[i].alias(x) for i, x in enumerate(("q1", "median", "q3"))))
     reach = factor * (F.col("q3") - F.col("q1"))
-    rows = melted(df, names, ref, "double").where("value is not null").join(F.broadcast(q), "column").where((F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach))
+    rows = melted(df, names, lambda c: value(df, c), "double").where("value is not null").join(F.broadcast(q), "column").where((F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach))
     return rows.groupBy("column").agg(*(F.first(x).alias(x) for x in ("q1", "median", "q3")), F.min("value").alias("whisker_low"), F.max("value").alias("whisker_high"))
 
 

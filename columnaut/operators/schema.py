@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import full_match, number_where, parsed_time
-from ..plans.columns import as_text, every, is_nested, numeric, ref, storage_types, strings
+from ..plans.columns import as_text, every, is_nested, numeric, ref, storage_types, strings, value
 from ..plans.fused import distinct_counts, frequencies, melted, names_of, per_column
 
 _ID = r"^[A-Fa-f0-9\-]{8,}\z"
@@ -70,12 +70,12 @@ ALIASES = {
     "float32": ("float",),
     "object": ("string",),
 }
-CONTRACT_KEYS = {"required_columns", "dtypes", "value_ranges", "categories"}
+CONTRACT_KEYS = {"required_columns", "dtypes", "value_ranges", "categories", "mixed_types"}
 
 
 def validate_schema(df: DataFrame, contract: Mapping) -> DataFrame:
-    """(check, column, detail, n) for each breach of a contract: required_columns [names], dtypes {column: alias}, value_ranges {column: {min, max}}, categories {column: [values]}; and for keys
-    that a contract doesn't know. n counts rows where that means something. Columns that are absent are only reported as required."""
+    """(check, column, detail, n) for each breach of a contract: required_columns [names], dtypes {column: alias}, value_ranges {column: {min, max}}, categories {column: [values]}, mixed_types
+    [string columns whose values must all look of one kind] (or true for all of them; one row for each kind but the most frequent); and for keys that a contract doesn't know. n counts rows where that means something. Columns that are absent are only reported as required."""
     rows: list[tuple] = [("unknown_key", None, k, None) for k in contract if k not in CONTRACT_KEYS]
     rows += [("required_columns", c, "missing", None) for c in contract.get("required_columns") or [] if c not in df.columns]
     actual = storage_types(df)
@@ -89,7 +89,8 @@ def validate_schema(df: DataFrame, contract: Mapping) -> DataFrame:
     for c, limits in (contract.get("value_ranges") or {}).items():
         if c in actual:
             lo, hi = (limits.get("min"), limits.get("max")) if isinstance(limits, Mapping) else limits
-            tests += [(c, f"< {lo}", ref(c) < F.lit(lo))] * (lo is not None) + [(c, f"> {hi}", ref(c) > F.lit(hi))] * (hi is not None)
+            v = value(df, c)
+            tests += [(c, f"< {lo}", v < F.lit(lo))] * (lo is not None) + [(c, f"> {hi}", v > F.lit(hi))] * (hi is not None)
     if tests:
         wide = df.agg(*(number_where(t).alias(f"_{i}") for i, (*_, t) in enumerate(tests)))
         found = wide.select(F.inline(F.array(*(F.struct(F.lit("value_ranges").alias("check"), F.lit(c).alias("column"), F.lit(d).alias("detail"), F.col(f"_{i}").cast("long").alias("n")) for i, (c, d, _) in enumerate(tests)))))
@@ -99,6 +100,13 @@ def validate_schema(df: DataFrame, contract: Mapping) -> DataFrame:
             text = as_text(df, c)
             bad = df.where(text.isNull() | ~text.isin([str(v) for v in allowed])).groupBy(text.alias("v")).agg(F.count(F.lit(1)).alias("n"))
             out = out.union(bad.select(F.lit("categories"), F.lit(c), F.coalesce("v", F.lit("null")), "n"))
+    mixed = contract.get("mixed_types") or []
+    mixed = strings(df) if mixed is True else [c for c in strings(df) if c in mixed]
+    if mixed:
+        kinds = mixed_types(df, mixed, 0.0)
+        most = kinds.groupBy("column").agg(F.max(F.struct("n", "kind")).alias("most"))
+        others = kinds.join(F.broadcast(most), "column").where("kind <> most.kind")
+        out = out.union(others.select(F.lit("mixed_types"), "column", F.concat(F.col("kind"), F.lit(" beside "), F.col("most.kind")), "n"))
     return out
 
 
@@ -207,7 +215,7 @@ def out_of_bounds(df: DataFrame, bounds: Mapping[str, Sequence[float]] | None =
     schema = "column string, lower double, upper double, violations bigint, min_violation double, max_violation double"
     if not names:
         return df.sparkSession.createDataFrame([], schema)
-    off = {c: (ref(c) < F.lit(bounds[c][0])) | (ref(c) > F.lit(bounds[c][1])) for c in names}
+    off = {c: (value(df, c) < F.lit(bounds[c][0])) | (value(df, c) > F.lit(bounds[c][1])) for c in names}
     wide = df.agg(*(x for i, c in enumerate(names) for x in (number_where(off[c]).alias(f"n{i}"), F.min(F.when(off[c], ref(c))).cast("double").alias(f"a{i}"), F.max(F.when(off[c], ref(c))).cast("double").alias(f"b{i}"))))
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(float(bounds[c][0])).alias("lower"), F.lit(float(bounds[c][1])).alias("upper"), F.col(f"n{i}").cast("long").alias("violations"), F.col(f"a{i}").alias("min_violation"), F.col(f"b{i}").alias("max_violation")) for i, c in enumerate(names)))
     return wide.select(F.inline(rows)).where("violations > 0")

@@ -10,23 +10,24 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.scalars import has_symbols, number_where, share, word_count
-from ..plans.columns import every, numeric, ref, strings
-from ..plans.fused import distinct_counts, frequencies, names_of, per_column, quantiles
+from ..plans.columns import every, numeric, ref, strings, value
+from ..plans.fused import distinct_counts, frequencies, per_column, places_of, quantiles, value_counts_of
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def dataset_shape(df: DataFrame) -> DataFrame:
-    """One row: num_rows, num_columns, null_cell_share (rounded to 4 digits)."""
-    nulls = [F.coalesce(F.sum(ref(c).isNull().cast("long")), F.lit(0)) for c in df.columns]
+    """One row: num_rows, num_columns, null_cell_share (rounded to 4 digits), approx_memory_mb (2 digits; what the optimizer takes the table's size to be, as there is no in-memory size to measure)."""
+    nulls = [F.coalesce(F.sum(value(df, c).isNull().cast("long")), F.lit(0)) for c in df.columns]
+    size = F.lit(round(estimated_bytes(df) / 2**20, 2))
     cells = F.greatest(F.count(F.lit(1)) * len(df.columns), F.lit(1))
     total = sum(nulls, F.lit(0))
-    return df.agg(F.count(F.lit(1)).alias("num_rows"), F.lit(len(df.columns)).cast("long").alias("num_columns"), F.round(total / cells, 4).alias("null_cell_share"))
+    return df.agg(F.count(F.lit(1)).alias("num_rows"), F.lit(len(df.columns)).cast("long").alias("num_columns"), F.round(total / cells, 4).alias("null_cell_share"), size.alias("approx_memory_mb"))
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """What the optimizer takes the table's size to be; there is no in-memory size to measure."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """What the optimizer takes the table's size to be."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -38,7 +39,7 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None, threshold:
 def null_patterns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(pattern, n): which columns are null together; a pattern has a 1 for each null column, in the table's order."""
     names = every(df, columns)
-    return df.select(F.concat(F.lit(""), *(ref(c).isNull().cast("int").cast("string") for c in names)).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(F.concat(F.lit(""), *(value(df, c).isNull().cast("int").cast("string") for c in names)).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 def missing_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ def missing_together(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         return df.sparkSession.createDataFrame([], "a string, b string, n bigint")
     parts = []
     for k in range(0, len(pairs), 500):
-        wide = df.agg(*(number_where(ref(a).isNull() & ref(b).isNull()).alias(f"_{i}") for i, (a, b) in enumerate(pairs[k : k + 500])))
+        wide = df.agg(*(number_where(value(df, a).isNull() & value(df, b).isNull()).alias(f"_{i}") for i, (a, b) in enumerate(pairs[k : k + 500])))
         parts.append(wide.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").cast("long").alias("n")) for i, (a, b) in enumerate(pairs[k : k + 500]))))))
     out = parts[0]
     for p in parts[1:]:
@@ -89,8 +90,9 @@ def unique_counts(df: DataFrame, columns: Sequence[str] | None = None, approxima
 
 def modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, value, n): the most frequent values, all of them if tied."""
-    w = Window.partitionBy("column").orderBy(F.desc("n"))
-    return frequencies(df, every(df, columns)).withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
+    found = frequencies(df, every(df, columns))
+    top = found.groupBy("column").agg(F.max("n").alias("_top"))  # one row per column; nothing is put in order
+    return found.join(F.broadcast(top), "column").where("n = _top").drop("_top")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, top_k: int = 5) -> DataFrame:
@@ -161,6 +163,9 @@ def sample_tail(df: DataFrame, n: int = 5, order_by: Sequence[str] = ()) -> Data
 def entropy(df: DataFrame, columns: Sequence[str] | None = None, count_nulls: bool = False) -> DataFrame:
     """entropy in bits of the value frequencies, n (rows counted) and low_n (n < 30); columns without a value are left out."""
     names = strings(df, columns) if columns is None else every(df, columns)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, n bigint, entropy double, low_n boolean")
     total = F.sum("n").alias("n")
     bits = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")
-    return frequencies(df, names, count_nulls, digests=True).groupBy("column").agg(total, F.greatest(bits, F.lit(0.0)).alias("entropy")).withColumn("low_n", F.col("n") < 30)
+    found = value_counts_of(df, names, count_nulls).groupBy("place").agg(total, F.greatest(bits, F.lit(0.0)).alias("entropy"))
+    return places_of(df, names).join(F.broadcast(found), "place").select("column", "n", "entropy", (F.col("n") < 30).alias("low_n"))

@@ -35,9 +35,18 @@ def is_nested(kind: T.DataType) -> bool:
     return isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
 
 
+def value(df: DataFrame, name: str) -> Column:
+    """A column's value, NaN as null and -0.0 as 0.0."""
+    return _plain(ref(name), df.schema[name].dataType)
+
+
+def _plain(c: Column, kind: T.DataType) -> Column:
+    return F.when(~F.isnan(c), c + F.lit(0.0).cast(kind)) if isinstance(kind, (T.FloatType, T.DoubleType)) else c
+
+
 def normalised(df: DataFrame) -> DataFrame:
     """NaN becomes null and -0.0 becomes 0.0 in floating-point columns; other columns stay as they are."""
-    change = {f.name: F.when(~F.isnan(ref(f.name)), ref(f.name) + F.lit(0.0).cast(f.dataType)) for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    change = {f.name: value(df, f.name) for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     return df.withColumns(change) if change else df
 
 
@@ -48,7 +57,7 @@ def as_text(df: DataFrame, name: str) -> Column:
         return F.when(ref(name).isNotNull(), F.to_json(F.struct(ref(name))))
     if isinstance(kind, T.BinaryType):
         return F.hex(ref(name))
-    return ref(name).cast("string")
+    return value(df, name).cast("string")
 
 
 def storage_types(df: DataFrame) -> dict[str, str]:
@@ -58,5 +67,5 @@ def storage_types(df: DataFrame) -> dict[str, str]:
 def complete_rows(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """The rows without a null in any of the columns."""
     for name in names:
-        df = df.where(ref(name).isNotNull())
+        df = df.where(value(df, name).isNotNull())
     return df

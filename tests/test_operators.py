@@ -55,7 +55,7 @@ def test_quantiles_equal_definition(spark, n):
     values = [rng.choice([rng.gauss(0, 5), 1.0, 2.0]) for _ in range(n)]
     df = frame(spark, "v double, w double", [(v, None) for v in values])
     probabilities = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
-    got = by(quantiles(df, ["v", "w"], probabilities, buckets=8))
+    got = by(quantiles(df, ["v", "w"], probabilities, few=50, accuracy=100))
     s = sorted(values)
     want = [s[math.floor(p * (n - 1))] + (s[math.ceil(p * (n - 1))] - s[math.floor(p * (n - 1))]) * (p * (n - 1) % 1) for p in probabilities]
     assert got["v"].n == n and got["v"].q == pytest.approx(want)
