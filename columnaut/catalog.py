@@ -208,25 +208,26 @@ def _(spark, sf):
 
 def _side(c: str, where: str, number: bool) -> str:
     ends = f"min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi" if number else "NULL::DOUBLE AS lo, NULL::DOUBLE AS hi"
-    return f"SELECT avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS missing, count(DISTINCT {c}) AS u, {ends} FROM events WHERE {where}"
+    return f"SELECT avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS missing, count(DISTINCT {c}) AS u, {ends} FROM (SELECT *, ts::DATE AS day FROM events) WHERE {where}"
 
 
-_COMPARED = [("user_id", True), ("event_type", False), ("value", True), ("ts", False)]
+_COMPARED = [("user_id", True, "bigint"), ("event_type", False, "string"), ("value", True, "double"), ("day", False, "date")]
 
 
 @query(
     "compare_with_reference_dataset",
     union(
         *(
-            f"""SELECT '{c}' AS "column", a.u AS n_unique, b.u AS ref_n_unique, round(a.lo, 4) + 0.0 AS lo, round(b.lo, 4) + 0.0 AS ref_lo, round(a.hi, 4) AS hi, round(b.hi, 4) AS ref_hi, round(abs(a.u - b.u) / greatest(b.u, 1)::DOUBLE, 4) AS unique_ratio_diff,
+            f"""SELECT '{c}' AS "column", 'shared' AS change, '{kind}' AS type, '{kind}' AS ref_type, round(abs(a.missing - b.missing), 4) AS missing_diff, abs(a.missing - b.missing) > 0.3 AS missing_flag, round(b.missing, 4) AS ref_missing,
+        round(greatest(abs(a.lo - b.lo) / (abs(b.lo) + 1e-6), abs(a.hi - b.hi) / (abs(b.hi) + 1e-6)), 4) AS minmax_diff, coalesce(greatest(abs(a.lo - b.lo) / (abs(b.lo) + 1e-6), abs(a.hi - b.hi) / (abs(b.hi) + 1e-6)) > 0.01, false) AS minmax_flag, a.u AS n_unique, b.u AS ref_n_unique, round(a.lo, 4) + 0.0 AS lo, round(b.lo, 4) + 0.0 AS ref_lo, round(a.hi, 4) AS hi, round(b.hi, 4) AS ref_hi, round(abs(a.u - b.u) / greatest(b.u, 1)::DOUBLE, 4) AS unique_ratio_diff,
         abs(a.u - b.u) / greatest(b.u, 1)::DOUBLE > 0.5 AS unique_flag, round(a.missing, 4) AS missing FROM ({_side(c, HALF_NOW, n)}) a, ({_side(c, HALF_THEN, n)}) b"""
-            for c, n in _COMPARED
+            for c, n, kind in _COMPARED
         )
     ),
 )
 def _(spark, sf):
-    found = schema.compare_tables(*halves(spark, sf)).select("column", "n_unique", "ref_n_unique", "lo", "ref_lo", "hi", "ref_hi", "unique_ratio_diff", "unique_flag", "missing")
-    return rounded(found, 4, "lo", "ref_lo", "hi", "ref_hi", "missing")
+    now, then = (t.withColumn("ts", F.to_date("ts")).withColumnRenamed("ts", "day") for t in halves(spark, sf))
+    return rounded(schema.compare_tables(now, then), 4, "lo", "ref_lo", "hi", "ref_hi", "missing", "ref_missing", "missing_diff", "unique_ratio_diff", "minmax_diff")
 
 
 @query("check_datetime_consistency", "SELECT 'day' AS \"column\", count(*) AS num_values, count(*) FILTER (event_id % 11 = 0) AS num_invalid, round(100.0 * count(*) FILTER (event_id % 11 <> 0)::DOUBLE / count(*), 2) AS percent_valid FROM events")
@@ -240,17 +241,20 @@ _MIXED = "CASE event_id % 10 WHEN 0 THEN '2024-01-02' WHEN 1 THEN 'word' WHEN 2
 
 @query(
     "detect_mixed_type_columns",
-    f"""WITH v AS (SELECT event_id, {_MIXED.format(s="VARCHAR")} AS v FROM events), k AS (SELECT CASE WHEN event_id % 10 = 0 THEN 'datetime' WHEN event_id % 10 = 1 THEN 'string' WHEN event_id % 10 = 2 THEN 'float' WHEN event_id % 10 = 3 THEN 'bool' ELSE 'int' END AS kind FROM v),
-    c AS (SELECT kind, count(*) AS n FROM k GROUP BY 1) SELECT 'v' AS "column", kind, n, round(n / sum(n) OVER ()::DOUBLE, 6) AS share, n < max(n) OVER () AND n / sum(n) OVER ()::DOUBLE >= 0.05 AS is_minority FROM c""",
+    f"""WITH v AS (SELECT event_id, {_MIXED.format(s="VARCHAR")} AS v FROM events), k AS (SELECT v, CASE WHEN event_id % 10 = 0 THEN 'datetime' WHEN event_id % 10 = 1 THEN 'string' WHEN event_id % 10 = 2 THEN 'float' WHEN event_id % 10 = 3 THEN 'bool' ELSE 'int' END AS kind FROM v),
+    c AS (SELECT kind, count(*) AS n FROM k GROUP BY 1), x AS (SELECT kind, v, row_number() OVER (PARTITION BY kind ORDER BY v) AS i FROM (SELECT DISTINCT kind, v FROM k)),
+    g AS (SELECT kind, string_agg(v, ' ' ORDER BY v) AS examples FROM x WHERE i <= 5 GROUP BY 1)
+    SELECT 'v' AS "column", kind, n, round(n / sum(n) OVER ()::DOUBLE, 6) AS share, n < max(n) OVER () AND n / sum(n) OVER ()::DOUBLE >= 0.05 AS is_minority, examples FROM c JOIN g USING (kind)""",
 )
 def _(spark, sf):
     t = table(spark, sf, "events").selectExpr(f"{_MIXED.format(s='STRING')} as v")
-    return rounded(schema.mixed_types(t).drop("examples"), 6, "share")
+    return rounded(schema.mixed_types(t), 6, "share").withColumn("examples", F.array_join("examples", " "))
 
 
-@query("detect_regex_format_violations", r"""SELECT 'url' AS "column", count(*) FILTER (NOT regexp_full_match(url, 'https://[a-z.-]+/[^?#]*')) AS violations FROM pages""")
+@query("detect_regex_format_violations", r"""SELECT 'url' AS "column", count(*) FILTER (NOT regexp_full_match(url, 'https://[a-z.-]+/[^?#]*')) AS violations,
+    (SELECT coalesce(string_agg(url, ' ' ORDER BY url), '') FROM (SELECT DISTINCT url FROM pages WHERE NOT regexp_full_match(url, 'https://[a-z.-]+/[^?#]*') ORDER BY url LIMIT 5)) AS examples FROM pages""")
 def _(spark, sf):
-    return schema.regex_violations(table(spark, sf, "pages"), {"url": "https://[a-z.-]+/[^?#]*", "absent": "x", "html": "("}).drop("examples")
+    return schema.regex_violations(table(spark, sf, "pages"), {"url": "https://[a-z.-]+/[^?#]*", "absent": "x", "html": "("}).withColumn("examples", F.array_join("examples", " "))
 
 
 @query(
@@ -419,10 +423,10 @@ def _(spark, sf):
     "detect_collinear_features",
     """WITH g AS (SELECT sum(l_quantity * l_quantity) AS a, sum(l_discount * l_discount) AS b, sum(l_tax * l_tax) AS c, sum(l_quantity * l_discount) / sqrt(sum(l_quantity * l_quantity) * sum(l_discount * l_discount)) AS x,
         sum(l_quantity * l_tax) / sqrt(sum(l_quantity * l_quantity) * sum(l_tax * l_tax)) AS y, sum(l_discount * l_tax) / sqrt(sum(l_discount * l_discount) * sum(l_tax * l_tax)) AS z FROM lineitem), d AS (SELECT *, 1 + 2 * x * y * z - x * x - y * y - z * z AS det FROM g)
-    SELECT 'l_quantity' AS "column", round((1 - z * z) / det, 4) AS vif, (1 - z * z) / det > 10 AS flagged FROM d UNION ALL SELECT 'l_discount', round((1 - y * y) / det, 4), (1 - y * y) / det > 10 FROM d UNION ALL SELECT 'l_tax', round((1 - x * x) / det, 4), (1 - x * x) / det > 10 FROM d""",
+    SELECT 'l_quantity' AS "column", round((1 - z * z) / det, 4) AS vif, (1 - z * z) / det > 10 AS flagged, CASE WHEN (1 - z * z) / det >= 15 THEN 0.85 WHEN (1 - z * z) / det > 10 THEN 0.75 END::DOUBLE AS score FROM d UNION ALL SELECT 'l_discount', round((1 - y * y) / det, 4), (1 - y * y) / det > 10, CASE WHEN (1 - y * y) / det >= 15 THEN 0.85 WHEN (1 - y * y) / det > 10 THEN 0.75 END::DOUBLE FROM d UNION ALL SELECT 'l_tax', round((1 - x * x) / det, 4), (1 - x * x) / det > 10, CASE WHEN (1 - x * x) / det >= 15 THEN 0.85 WHEN (1 - x * x) / det > 10 THEN 0.75 END::DOUBLE FROM d""",
 )
 def _(spark, sf):
-    return rounded(multivariate.collinear_features(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"]).drop("score"), 4, "vif")
+    return rounded(multivariate.collinear_features(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"]), 4, "vif")
 
 
 @query("detect_data_leakage", "SELECT 'l_tax' AS a, 'double_tax' AS b, round(corr(l_tax, 2 * l_tax), 6) AS r FROM lineitem")

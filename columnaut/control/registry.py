@@ -45,7 +45,8 @@ PLUGIN_WARNINGS: list[dict[str, str]] = []
 
 
 def snake_case(name: str) -> str:
-    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
+    words = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z0-9]+|[A-Z]+", name)
+    return "_".join(words).lower() or name
 
 
 def register_task(name: str | None = None, **spec) -> Callable:

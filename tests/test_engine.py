@@ -183,3 +183,16 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = {r.column: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["s"].null_count == 1 and got["a"].n_rows == 2
+
+
+def test_layouts(tmp_path):
+    from columnaut.control import layout
+
+    rows = layout.arrange(layout.load_layout(), ["infer_types", "summarize_nulls", "own_task"])
+    assert [[x["task"] for x in r] for r in rows] == [["infer_types"], ["summarize_nulls"], ["own_task"]]
+    path = tmp_path / "layout.json"
+    path.write_text(json.dumps({"title": "t", "layout": [{"row": [{"id": "b", "width": 60}, {"id": "a", "width": 40}]}]}))
+    assert layout.arrange(layout.load_layout(str(path)), ["a", "b"]) == [[{"task": "b", "width": 60}, {"task": "a", "width": 40}]]
+    path.write_text(json.dumps({"layout": [{"row": [{"id": "b", "width": 60}, {"id": "a", "width": 50}]}]}))
+    with pytest.raises(ValueError):
+        layout.load_layout(str(path))

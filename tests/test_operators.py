@@ -110,10 +110,12 @@ def test_types(spark):
 
 
 def test_contract(spark):
-    t = frame(spark, "survived int, age double, sex string", [(0, 22.0, "male"), (1, -3.0, "female"), (1, 130.0, None)])
-    contract = {"required_columns": ["survived", "fare"], "dtypes": {"age": "int", "sex": "str"}, "value_ranges": {"age": {"min": 0, "max": 120}}, "categories": {"sex": ["male", "female"]}, "surplus": 1}
-    got = {(r.check, r.column, r.detail, r.n) for r in schema.validate_schema(t, contract).collect()}
-    assert got == {("unknown_key", None, "surplus", None), ("required_columns", "fare", "missing", None), ("dtypes", "age", "expected int, found double", None), ("value_ranges", "age", "< 0", 1), ("value_ranges", "age", "> 120", 1), ("categories", "sex", "null", 1)}
+    t = frame(spark, "seats int, width double, shape string", [(0, 22.0, "round"), (1, -3.0, "oval"), (1, 130.0, None)])
+    contract = {"required_columns": ["seats", "price"], "dtypes": {"width": "int", "shape": "str"}, "value_ranges": {"width": {"min": 0, "max": 120}}, "categories": {"shape": ["round", "oval"]}, "surplus": 1}
+    got = {tuple(r) for r in schema.validate_schema(t, contract).collect()}
+    assert got == {("unknown_key", None, "surplus", None), ("required_columns", "price", "missing", None), ("dtypes", "width", "expected int, found double", None), ("value_ranges", "width", "< 0", 1), ("value_ranges", "width", "> 120", 1), ("categories", "shape", "null", 1)}
+    mixed = frame(spark, "a string, b string", [("1", "x"), ("2", "y"), ("2024-01-02", None)])
+    assert {tuple(r) for r in schema.validate_schema(mixed, {"mixed_types": ["a", "b"]}).collect()} == {("mixed_types", "a", "datetime beside int", 1)}
     assert schema.validate_schema(t, {}).count() == 0
 
 
@@ -275,3 +277,73 @@ def test_plots(spark):
     b = by(plots.boxplot(frame(spark, "v int", [(i,) for i in range(9)] + [(500,)])))["v"]
     assert b.whisker_high == 8 and b["median"] == 4.5
     assert plots.correlation_matrix(t.withColumn("w", F.col("v") * -1), ["v", "w"]).count() == 4
+
+
+def test_nan_is_null_in_every_operator(spark):
+    """Operators used alone, on tables that no reader has normalised."""
+    t = frame(spark, "a double, b float, c int", [(1.0, float("nan"), 1), (float("nan"), 2.0, 2), (3.0, 4.0, 3), (-0.0, 0.0, 4)])
+    row = by(summaries.summarize_numeric(t))["a"]
+    assert (row["count"], row["max"], row["p50"]) == (3, 3.0, 1.0) and row["mean"] == pytest.approx(4 / 3)
+    assert by(summaries.null_counts(t))["a"].null_count == 1 and by(summaries.unique_counts(t))["b"].n_unique == 3
+    assert by(anomalies.zeros(t))["a"].zero_count == 1 and by(anomalies.outliers(t))["a"].outlier_count == 0
+    assert summaries.dataset_shape(t).first().null_cell_share == round(2 / 12, 4)
+    assert {(r.a, r.b): r.r for r in multivariate.correlations(t).collect()}[("a", "c")] is not None
+    assert {r.value for r in summaries.modes(t, ["a"]).collect()} == {"0.0", "1.0", "3.0"}
+
+
+def test_two_values_are_corrected_after_yates(spark):
+    now = frame(spark, "c string", [("x",)] * 30 + [("y",)] * 20)
+    then = frame(spark, "c string", [("x",)] * 20 + [("y",)] * 30)
+    assert by(drift.feature_drift(now, then))["c"].chi2_p == pytest.approx(0.0719, abs=1e-4)
+    three = drift.category_drift(now.union(frame(spark, "c string", [("z",)])), then).first()
+    assert three.dof == 2
+
+
+def test_exact_ks_counts_paths():
+    import itertools
+
+    for n, m in ((3, 4), (5, 5), (2, 7), (6, 4)):
+        for k in range(1, n * m + 1):
+            d, out = k / (n * m), 0
+            ways = list(itertools.combinations(range(n + m), n))
+            for own in ways:
+                a = b = far = 0
+                for i in range(n + m):
+                    a, b = (a + 1, b) if i in own else (a, b + 1)
+                    far = max(far, abs(a * m - b * n))
+                out += far >= round(d * n * m)
+            if k % (n * m // __import__("math").lcm(n, m)) == 0:
+                assert tails.ks_two_sample_p(d, n, m) == pytest.approx(out / len(ways))
+    assert tails.ks_two_sample_p(0.02, 10_000, 9_999) == pytest.approx(tails.ks_two_sample_p(0.02, 10_001, 9_999), abs=0.002)
+
+
+def test_quantiles_of_many_rows_with_ties(spark):
+    """More rows than are ordered at once, half of them equal."""
+    t = spark.range(0, 60_000).selectExpr("if(id % 2 = 0, 7.0D, cast(id * 7919 % 60000 as double)) as v", "cast(id % 3 as int) as w", "cast(null as double) as n")
+    rows = sorted(7.0 if i % 2 == 0 else float(i * 7919 % 60000) for i in range(60_000))
+    probabilities = (0.0, 0.01, 0.25, 0.5, 0.501, 0.75, 0.99, 1.0)
+    want = []
+    for p in probabilities:
+        x = p * 59_999
+        k = int(x)
+        want.append(rows[k] + (rows[min(k + 1, 59_999)] - rows[k]) * (x - k))
+    for few, accuracy in ((100, 50), (1000, 200), (100_000, 2000)):
+        got = by(quantiles(t, ["v", "w", "n"], probabilities, few=few, accuracy=accuracy))
+        assert got["v"].q == pytest.approx(want) and got["w"].q[3] == 1.0 and got["n"].q is None and got["n"].n == 0
+
+
+def test_shared_statistics_are_those_of_the_operators(spark):
+    from columnaut.plans.fused import Shared
+
+    t = frame(spark, "a double, b string, c int", [(float(i % 7), "xyz"[i % 3], i) for i in range(50)])
+    alone = [sorted(map(tuple, f.collect())) for f in (summaries.unique_counts(t), summaries.summarize_numeric(t), anomalies.outliers(t))]
+    with Shared(t) as s:
+        assert alone == [sorted(map(tuple, f.collect())) for f in (summaries.unique_counts(t), summaries.summarize_numeric(t), anomalies.outliers(t))]
+        assert s._distinct and s._quantiles
+    assert Shared.active is None
+
+
+def test_contingency_tables_of_all_pairs(spark):
+    t = frame(spark, "a string, b string, c string, d string", [("x", "p", None, "k"), ("y", "q", None, "k"), ("x", "p", "s", "k"), ("y", "q", None, "k")])
+    got = {(r.a, r.b): r for r in multivariate.cramers_v(t, yates=False).collect()}
+    assert got[("a", "b")].v == pytest.approx(1.0) and got[("a", "c")].n == 1 and got[("a", "d")].v == 0 and len(got) == 6
