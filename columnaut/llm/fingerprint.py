@@ -204,5 +204,13 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(documents(spark, sf_dir))
 
 
-QUERIES = {"op7_fingerprints": op7_fingerprints}
-ORACLES: dict[str, str] = {}
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_fingerprints that SQL can express."""
+    return op7_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_ORACLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS u FROM d)
+    SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(substring(t, 1, (length(t) - length(t) // 4)::BIGINT) || substring(u, 1, (length(t) // 4)::BIGINT)) AS edited_sha256 FROM n"""
+
+QUERIES = {"op7_fingerprints": op7_fingerprints, "edited_texts": edited_texts}
+ORACLES = {"edited_texts": EDITED_ORACLE}

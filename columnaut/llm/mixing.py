@@ -300,5 +300,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(documents(spark, sf_dir)).digest()
 
 
-QUERIES = {"op5_mixing": op5_mixing}
-ORACLES: dict[str, str] = {}
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_mixing that SQL can express, and how near its source's taken words come to the target."""
+    found = op5_mixing(spark, sf_dir)
+    source = documents(spark, sf_dir).select("doc_id", "source")
+    near = found.join(source, "doc_id").groupBy("source").agg((F.abs(F.sum("taken") - F.max("target")) <= 1).alias("met"))
+    rows = found.join(source, "doc_id").join(F.broadcast(near.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
+    return rows.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"), "met")
+
+
+#: In the order of their size against their weight, the sources whose cap binds come first: each is tried as if all before it were capped.
+TARGETS_ORACLE = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY 1),
+    o AS (SELECT *, sum(source_size) OVER () AS total, coalesce(sum(source_size) OVER before, 0) AS b, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS rest FROM s
+        WINDOW before AS (ORDER BY source_size / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT *, bool_and(3 * source_size <= (total - 3 * b) * w / rest::DOUBLE) OVER (ORDER BY source_size / w::DOUBLE, source NULLS LAST) AS capped FROM o),
+    t AS (SELECT source, source_size, CASE WHEN capped THEN 3.0 * source_size ELSE (total - 3 * coalesce(sum(source_size) FILTER (capped) OVER (), 0)) * w / (sum(w) FILTER (NOT capped) OVER ())::DOUBLE END::DOUBLE AS target FROM c)
+    SELECT doc_id, size, source_size, round(target, 3) AS target, true AS within, true AS met FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
+
+QUERIES = {"op5_mixing": op5_mixing, "mixing_targets": mixing_targets}
+ORACLES = {"mixing_targets": TARGETS_ORACLE}

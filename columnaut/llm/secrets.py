@@ -362,5 +362,31 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", *map(count, KINDS[:3]), f"sha2({joined(f'''filter(findings, f -> f.kind in {KINDS[:3]})''')}, 256) as base_sha256", f"{joined('findings')} as spans")
 
 
-QUERIES = {"op3_secret_scans": op3_secret_scans}
-ORACLES: dict[str, str] = {}
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_secret_scans that SQL can express: what stands in the open."""
+    return op3_secret_scans(spark, sf_dir).drop("spans")
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_SQL_ASSIGN = "((" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))"""
+
+
+def _matches_sql(kind: int, pattern: str, keep: str) -> str:
+    """(doc_id, k, s, e): matches in order, each found with the text that stands before it, whose lengths sum up to its place."""
+    whole = f"regexp_extract_all(t, '(?s)(.*?){pattern}', "
+    return f"""m{kind} AS (SELECT doc_id, generate_subscripts(m, 1) AS i, unnest(p) AS p, unnest(m) AS m, unnest(v) AS v FROM (SELECT doc_id, {whole}1) AS p, {whole}2) AS m, {whole}{4 if kind == 0 else 2}) AS v FROM d)),
+    s{kind} AS (SELECT doc_id, {kind} AS k, v, m, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM m{kind}),
+    f{kind} AS (SELECT doc_id, k, e - length(m) AS s, e FROM s{kind} WHERE {keep})"""
+
+
+BASE_ORACLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_matches_sql(0, _SQL_ASSIGN, "length(v) >= 12")}, {_matches_sql(1, "(AKIA[A-Z0-9]+)", "length(m) >= 18")}, {_matches_sql(2, "([0-9a-f]+)", "length(m) >= 16")},
+    f AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2),
+    g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+        string_agg(['assign', 'access', 'hex'][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) AS j FROM f GROUP BY 1)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(j, '')) AS base_sha256 FROM d LEFT JOIN g USING (doc_id)"""
+
+QUERIES = {"op3_secret_scans": op3_secret_scans, "base_secrets": base_secrets}
+ORACLES = {"base_secrets": BASE_ORACLE}
