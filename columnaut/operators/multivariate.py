@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..plans.columns import as_text, complete_rows, numeric, ref, strings, value
 from ..plans.fused import distinct_counts, per_column, quantiles
+from ..plans.pairs import pair_sums
 
 PAIRS_A_PASS = 300
 
@@ -20,11 +21,15 @@ def _pairs(names: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
 
 
-def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(a, b, r): Pearson correlation of every pair of numeric columns over the rows where both have a value; null if one is constant."""
-    pairs = _pairs(numeric(df, columns))
+def correlations(df: DataFrame, columns: Sequence[str] | None = None, by_blocks: bool | None = None) -> DataFrame:
+    """(a, b, r): Pearson correlation of every pair of numeric columns over the rows where both have a value; null if one is constant. Pairs that one aggregate can hold come from it; those of wider
+    tables come from products of blocks (by_blocks: one or the other), also in one scan."""
+    names = numeric(df, columns)
+    pairs = _pairs(names)
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    if by_blocks or by_blocks is None and len(pairs) > PAIRS_A_PASS:
+        return _correlations_by_blocks(df, names)
 
     def r(a: Column, b: Column) -> Column:
         both = a.isNotNull() & b.isNotNull()
@@ -41,6 +46,25 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return reduce(DataFrame.union, parts)
 
 
+def _correlations_by_blocks(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    # values are centred, so that sums of squares keep their digits; constants become 0
+    ends = {r.column: r for r in per_column(df, names, {"m": F.avg, "lo": lambda c: F.min(c).cast("double"), "hi": lambda c: F.max(c).cast("double")}, "m double, lo double, hi double").collect()}
+    middle = [(r.lo if r.lo == r.hi else r.m) or 0.0 for r in (ends[c] for c in names)]
+    s = pair_sums(df, [value(df, c).cast("double") - F.lit(float(m)) for c, m in zip(names, middle)])
+    rows = []
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            n, r = s["n"][i, j], None
+            if n:
+                x, y = s["x"][i, j] / n, s["x"][j, i] / n
+                # a column that is constant where both have a value leaves nothing but rounding
+                vx, vy = s["xx"][i, j] / n - x * x, s["xx"][j, i] / n - y * y
+                if vx > 1e-14 * s["xx"][i, j] / n and vy > 1e-14 * s["xx"][j, i] / n:
+                    r = float((s["xy"][i, j] / n - x * y) / np.sqrt(vx * vy))
+            rows.append((a, names[j], r))
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+
+
 def data_leakage(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.99) -> DataFrame:
     """Pairs of numeric columns whose correlation reaches the threshold in size."""
     return correlations(df, columns).where(F.abs("r") >= threshold)
@@ -82,7 +106,7 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = None, col
     return one.withColumn("chi2", chi2).select("a", "b", "n", "chi2", dof.alias("dof"), v.alias("v"))
 
 
-def gram(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[list[str], np.ndarray, int]:
+def gram(df: DataFrame, columns: Sequence[str] | None = None, by_blocks: bool | None = None) -> tuple[list[str], np.ndarray, int]:
     """Column names, X'X over rows without a null in any of them, and their number; a bounded result of one pass."""
     names = numeric(df, columns)
     if not names:
@@ -90,6 +114,9 @@ def gram(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[list[str]
     rows = complete_rows(df, names)
     k = len(names)
     cells = [(i, j) for i in range(k) for j in range(i, k)]
+    if by_blocks or by_blocks is None and len(cells) > 2 * PAIRS_A_PASS:
+        s = pair_sums(rows, [ref(c) for c in names])
+        return names, s["xy"], int(s["n"][0, 0])
     g, n = np.zeros((k, k)), 0
     for at in range(0, len(cells), 2 * PAIRS_A_PASS):
         some = cells[at : at + 2 * PAIRS_A_PASS]

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import has_symbols, number_where, share, word_count
 from ..plans.columns import every, numeric, ref, strings, value
 from ..plans.fused import distinct_counts, frequencies, per_column, places_of, quantiles, value_counts_of
+from ..plans.pairs import pair_sums
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -48,11 +49,15 @@ def missing_cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def missing_together(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(a, b, n): in how many rows both columns are null, for every pair in the table's order, from one pass."""
+    """(a, b, n): in how many rows both columns are null, for every pair in the table's order, from one pass: an aggregate, or products of blocks for wide tables."""
     names = every(df, columns)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, n bigint")
+    if len(pairs) > 500:
+        n = pair_sums(df, [F.when(value(df, c).isNull(), 1.0) for c in names])["n"]
+        rows = [(a, b, int(n[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+        return df.sparkSession.createDataFrame(rows, "a string, b string, n bigint")
     parts = []
     for k in range(0, len(pairs), 500):
         wide = df.agg(*(number_where(value(df, a).isNull() & value(df, b).isNull()).alias(f"_{i}") for i, (a, b) in enumerate(pairs[k : k + 500])))

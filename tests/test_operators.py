@@ -347,3 +347,25 @@ def test_contingency_tables_of_all_pairs(spark):
     t = frame(spark, "a string, b string, c string, d string", [("x", "p", None, "k"), ("y", "q", None, "k"), ("x", "p", "s", "k"), ("y", "q", None, "k")])
     got = {(r.a, r.b): r for r in multivariate.cramers_v(t, yates=False).collect()}
     assert got[("a", "b")].v == pytest.approx(1.0) and got[("a", "c")].n == 1 and got[("a", "d")].v == 0 and len(got) == 6
+
+
+def test_wide_tables_by_blocks(spark):
+    """Products of blocks agree with the aggregates, nulls and constants and far-off means included."""
+    import random
+
+    rng = random.Random(3)
+    rows = [tuple(None if rng.random() < 0.1 else 1e6 + rng.gauss(0, 1) for _ in range(5)) + (5.0, None, float(i), float("nan") if i % 9 == 0 else -2.0 * i) for i in range(200)]
+    t = frame(spark, ", ".join(f"c{i} double" for i in range(9)), rows).repartition(3)
+    both = [{(r.a, r.b): r.r for r in multivariate.correlations(t, by_blocks=x).collect()} for x in (False, True)]
+    assert both[0].keys() == both[1].keys()
+    for k, v in both[0].items():
+        assert both[1][k] == (None if v is None else pytest.approx(v, abs=1e-9))
+    some = ["c0", "c1", "c7", "c8"]
+    (a, g, n), (b, h, m) = (multivariate.gram(t, some, by_blocks=x) for x in (False, True))
+    assert a == b and n == m and h == pytest.approx(g)
+    wide = frame(spark, ", ".join(f"c{i} double" for i in range(40)), [tuple(None if (i * 7 + j) % 5 == 0 else float(i * j % 11) for j in range(40)) for i in range(30)])
+    got = {(r.a, r.b): r.n for r in summaries.missing_together(wide).collect()}
+    assert len(got) == 780 and got[("c0", "c5")] == sum(i * 7 % 5 == 0 for i in range(30)) and got[("c0", "c1")] == 0
+    found = multivariate.correlations(wide).collect()
+    assert len(found) == 780 and {(r.a, r.b): r.r for r in found}[("c1", "c2")] is not None
+    assert multivariate.correlations(wide.limit(0)).count() == 780
