@@ -13,8 +13,8 @@ Spans count code points, the end is exclusive. The scan is done inside the row,
 
 Edge cases: null and empty texts have no findings; repeated rows get the same row each; an empty table gives an empty result; other columns
 aren't read by `scan` and pass through `redact` untouched. Texts are scanned whole, and so is compressed
-data: member after member, in overlapping windows, so that memory is bounded and nothing is cut. An overlap holds the encoded run that the window ends in, up
-to `max_layer_bytes`; a longer run inside compressed data is scanned in parts.
+data: member after member, in overlapping windows, so that nothing is cut. An overlap holds the encoded run that the window ends in; one of more than `max_layer_bytes` is kept compressed, and
+decoded as a stream when it ends, so that memory stays within some times the text's own size however far its data expands.
 """
 
 from __future__ import annotations
@@ -58,6 +58,9 @@ _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=")] = True
 #: Bytes of wrapped and escaped runs.
 _RUN_BYTES = bytes(b for b in range(128) if _RUN[b]) + b"\r\n\t%\\&#;{}"
+#: Base64 letters in the standard alphabet, and all other bytes.
+_STANDARD = bytes(range(256)).replace(b"-", b"+").replace(b"_", b"/")
+_NO_LETTERS = bytes(b for b in range(256) if not _RUN[b] or b == 61)
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 
@@ -143,10 +146,47 @@ class _Member:
             return
 
 
+class _Spool:
+    """An encoded run too long to be held as it is: compressed again, it takes about as much as what it was expanded from."""
+
+    def __init__(self):
+        self.packer, self.parts = zlib.compressobj(1), []
+
+    def add(self, run: bytes) -> None:
+        self.parts.append(self.packer.compress(run))
+
+    def _letters(self) -> Iterator[bytes]:
+        """Its base64 letters, without line ends."""
+        unpacker, carry = zlib.decompressobj(), b""
+        for part in self.parts:
+            while part:
+                piece = carry + unpacker.decompress(part, PIECE_BYTES)
+                part = unpacker.unconsumed_tail
+                carry = b"\\" if piece.endswith(b"\\") else b""
+                piece = piece[: len(piece) - len(carry)].replace(b"\\n", b"").replace(b"\\r", b"")
+                yield piece.translate(_STANDARD, _NO_LETTERS)
+
+    def _decoded(self, skip: int) -> Iterator[bytes]:
+        held = b""
+        for piece in self._letters():
+            held, skip = held + piece[skip:], max(0, skip - len(piece))
+            n = len(held) // 4 * 4
+            yield base64.b64decode(held[:n])
+            held = held[n:]
+        if len(held) > 1:
+            yield base64.b64decode(held + b"=" * (-len(held) % 4))
+
+    def contents(self, most: int, above: frozenset[bytes]) -> Iterator[bytes]:
+        self.parts.append(self.packer.flush())
+        for skip in range(4):
+            for _, inner in _contents(self._decoded(skip), most, above):
+                yield inner
+
+
 def _contents(chunks: Iterator[bytes], most: int, above: frozenset[bytes] = frozenset()) -> Iterator[tuple[int | None, bytes]]:
     """Windows of a stream (place None) and of all that is compressed in it (place of the outermost member). above: heads of the members around, which stops
     archives that contain themselves."""
-    stream, past, want = _Stream(chunks), 0, WINDOW_BYTES
+    stream, past, want, spool, upto = _Stream(chunks), 0, WINDOW_BYTES, None, 0
     while not stream.done:
         while len(stream.held) < want and stream.grow():
             pass
@@ -161,6 +201,22 @@ def _contents(chunks: Iterator[bytes], most: int, above: frozenset[bytes] = froz
                 yield place, inner
             past = member.end or past
         tail = len(window) - len(window.rstrip(_RUN_BYTES))
+        if spool:
+            more = window[upto - base :]
+            own = len(more) - len(more.lstrip(_RUN_BYTES))
+            spool.add(more[:own])
+            if own < len(more) or stream.done:
+                for inner in spool.contents(most, above):
+                    yield base, inner
+                spool = None
+        elif tail > most and above:  # outside of members the run is at hand as a whole
+            spool = _Spool()
+            spool.add(window[len(window) - tail :])
+            if stream.done:
+                for inner in spool.contents(most, above):
+                    yield base, inner
+                spool = None
+        upto = base + len(window)
         keep = tail if OVERLAP_BYTES < tail <= most else OVERLAP_BYTES
         drop = max(0, len(window) - keep)
         del stream.held[:drop]

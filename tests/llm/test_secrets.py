@@ -9,6 +9,7 @@ import random
 import re
 import tarfile
 import time
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -170,3 +171,30 @@ def test_findings_inside_others_equal_the_definition():
             for e in range(s + 1, s + 12):
                 k = bisect.bisect_right(opens, s)
                 assert bool(k and upto[k - 1] >= e) == any(x <= s and e <= y for x, y, _ in base)
+
+
+@pytest.mark.parametrize("wrap", [0, 76])
+def test_long_runs_inside_compressed_data_are_decoded_whole(wrap):
+    """gzip of base64 of gzip, the inner run longer than what is held at once, with the secret at its end."""
+    noise = random.Random(1).randbytes(1_000_000)
+    run = base64.b64encode(gzip.compress(noise + b" password=abcdefghijkl99 ")).decode()
+    if wrap:
+        run = "\n".join(run[i : i + wrap] for i in range(0, len(run), wrap))
+    text = "see " + base64.b64encode(gzip.compress(b"intro text: " + run.encode() + b" done")).decode() + " end"
+    for most in (100_000, 1 << 30):
+        got = S.scan_text(text, most)
+        assert [(a, b, k) for a, b, k in got if k == 3] == [(4, len(text) - 4, 3)]
+
+
+def test_memory_stays_near_the_text_however_far_it_expands():
+    """Base64 of 80 MB of one letter in gzip: a run that is never held."""
+    packer, parts = zlib.compressobj(9, zlib.DEFLATED, 31), []
+    for _ in range(80):
+        parts.append(packer.compress(b"A" * (1 << 20)))
+    text = base64.b64encode(b"".join([*parts, packer.compress(b" token: 'abcdefghijklmnop'"), packer.flush()])).decode()
+    tracemalloc.start()
+    got = S._contents(iter([base64.b64decode(text)]), 1 << 20)
+    found = sum(b"abcdefghijklmnop" in inner for _, inner in got)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 1 and peak < 40 << 20
