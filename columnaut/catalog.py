@@ -556,7 +556,26 @@ def _(spark, sf):
     return rounded(meta.infer_stage(events(spark, sf)), 6, "mean_null_share")
 
 
-@query("data_quality_scorer")
+def _quality_sql() -> str:
+    """The parts of the quality score of the later half of events against the earlier one, each from its own definition."""
+    now = f"(SELECT ts, user_id, event_type, value FROM events WHERE {HALF_NOW})"
+    names, numbers = ("ts", "user_id", "event_type", "value"), ("user_id", "value")
+    nulls = ", ".join(f"avg(({c} IS NULL)::INT) AS null_{c}" for c in names)
+    skew = " + ".join(f"(abs(skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1.0))) > 2)::INT" for c in numbers)
+    far = " OR ".join(f"greatest(max({c}) - median({c}::DOUBLE), median({c}::DOUBLE) - min({c})) / (CASE WHEN mad({c}::DOUBLE) = 0 THEN 1e-8 ELSE mad({c}::DOUBLE) END) > 3" for c in numbers)
+    same = " OR ".join(f"stddev_samp({c}) < 1e-8" for c in numbers)
+    # the inflation of two columns as they stand is the same for both
+    vif = "1 / (1 - sum(user_id * value) ** 2 / (sum(user_id::DOUBLE * user_id) * sum(value * value)))"
+    tvd = f"""(SELECT sum(abs(r / nr - c / nc)) / 2 FROM (SELECT count(*) FILTER ({HALF_NOW})::DOUBLE AS c, count(*) FILTER ({HALF_THEN})::DOUBLE AS r, sum(count(*) FILTER ({HALF_NOW})) OVER () AS nc, sum(count(*) FILTER ({HALF_THEN})) OVER () AS nr FROM events GROUP BY {{c}}))"""
+    drifted = " + ".join([*(f"(SELECT (psi >= 0.1)::INT FROM {_psi_sql(c)})" for c in numbers), *(f"({tvd.format(c=c)} >= 0.2)::INT" for c in ("ts", "event_type"))])
+    missing, much = " + ".join(f"(null_{c} > 0)::INT" for c in names), " OR ".join(f"null_{c} > 0.3" for c in names)
+    return f"""WITH a AS (SELECT {nulls}, {skew} AS skewed, {far} AS far, {same} AS same, (2 * ({vif} > 10)::INT) // 2 AS pairs, {drifted} AS drifted FROM {now}),
+    p AS (SELECT (100 - least(2 * ({missing}), 50) - CASE WHEN {much} THEN 10 ELSE 0 END)::DOUBLE AS completeness, 100::DOUBLE AS consistency,
+        (100 - least(5 * skewed, 30) - 10 * same::INT - 10 * far::INT)::DOUBLE AS distribution, (100 - least(2 * pairs, 30))::DOUBLE AS redundancy, (100 - least(5 * drifted, 30))::DOUBLE AS drift FROM a)
+    SELECT *, round_even(0.3 * completeness + 0.2 * consistency + 0.2 * distribution + 0.15 * redundancy + 0.15 * drift, 0)::BIGINT AS overall FROM p"""
+
+
+@query("data_quality_scorer", _quality_sql())
 def _(spark, sf):
     now, then = halves(spark, sf)
     return meta.quality_score(now, then)
