@@ -117,15 +117,24 @@ class _Left:
         self.there |= 1 << x
 
 
-def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the pieces of filling b can be dealt into bins as large as the pieces of filling a: a is then at least as good (Martello and Toth)."""
+#: Fillings of a bin that further ones are held against.
+_RIVALS = 128
+
+
+def dominates(a: tuple[int, ...], b: tuple[int, ...], steps: int = 200) -> bool:
+    """Whether the pieces of filling b can be dealt into bins as large as the pieces of filling a: a is then at least as good (Martello and Toth). A test that takes more than `steps` steps is given up
+    as if it weren't so; b is then merely tried in vain."""
     room = list(a)
 
     def deal(i: int) -> bool:
+        nonlocal steps
         if i == len(b):
             return True
         tried = set()
         for j, r in enumerate(room):
+            steps -= 1
+            if steps < 0:
+                return False
             if r >= b[i] and r not in tried:
                 tried.add(r)
                 room[j] = r - b[i]
@@ -134,7 +143,7 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
                 room[j] = r
         return False
 
-    return sum(b) <= sum(a) and deal(0)
+    return sum(b) <= sum(a) and (not b or bool(a) and b[0] <= a[0] and deal(0))
 
 
 def fillings(left: _Left, room: int, spare: int) -> Iterator[tuple[int, ...]]:
@@ -174,7 +183,8 @@ def fillings(left: _Left, room: int, spare: int) -> Iterator[tuple[int, ...]]:
         if reach[-1] >> s & 1:
             for found in exactly(s, len(lengths)):
                 if not any(dominates(b, found) for b in before):
-                    before.append(found)
+                    if len(before) < _RIVALS:
+                        before.append(found)
                     yield found
                     if found == (room,):
                         return  # it dominates all others

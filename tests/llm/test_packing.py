@@ -101,6 +101,18 @@ def test_bin_completion_beats_best_fit():
     assert P.lower_bound(counts, 1024) <= len(found) < len(P.best_fit_decreasing(counts, 1024))
 
 
+def test_very_many_small_pieces_take_no_longer():
+    """Bins of hundreds of pieces: neither the recursion nor the test of dominance gets out of hand."""
+    rng = random.Random(11)
+    lengths = [rng.randint(330, 420) for _ in range(300)] + [1] * 1200 + [2] * 400 + [3] * 90
+    counts = np.bincount(lengths, minlength=1025)
+    found = P.complete_bins(counts, 1024, 6000)
+    assert sorted(x for b in found for x in b) == sorted(lengths) and max(map(sum, found)) <= 1024
+    assert not P.dominates((1,) * 1000, (1,) * 999 + (2,)) and P.dominates((5, 3), (3, 2, 2, 1))
+    left = P._Left(np.bincount([1] * 1023 + [2] * 300, minlength=1025))
+    assert [sum(f) for f, _ in zip(P.fillings(left, 1023, 1023), range(50))] == [1023] * 50
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_search_reaches_the_bound_where_best_fit_does_not(sf):
     """Lengths of the pieces of whole tables."""
