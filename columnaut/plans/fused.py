@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .columns import as_text, value
+from .columns import as_text, ref, value
 
 #: Aggregates that one pass computes at most; wider tables take further passes, so that generated code stays within the JVM's limits.
 AGGREGATES_A_PASS = 600
@@ -195,7 +195,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
 def _quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 2_000, few: int = 200_000) -> DataFrame:
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, n bigint, q array<double>")
-    values = [value(df, c).cast("double") for c in columns]
+    # each value is worked out once a row and then compared with many bounds: the row number keeps the optimizer from putting its expression into every comparison. NaN is beyond all bounds
+    rows = df.select(*(ref(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)), F.monotonically_increasing_id().alias("row")).where("row >= 0")
+    values = [F.col(f"v{i}") for i in range(len(columns))]
     cuts = F.array(*(F.lit(min(1.0, max(0.0, x + e))) for x in probabilities for e in (-2 / accuracy, 2 / accuracy)))
     measures = {"n": F.count, "lo": lambda c: F.min(c).cast("double"), "hi": lambda c: F.max(c).cast("double"), "q": lambda c: F.percentile_approx(c.cast("double"), cuts, accuracy)}
     first = {r.column: r for r in per_column(df, columns, measures, "n bigint, lo double, hi double, q array<double>").collect()}
@@ -209,11 +211,11 @@ def _quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[fl
         elif r.n:
             todo += [_Bracket(i, r.q[2 * k], r.q[2 * k + 1], {math.floor(x), math.ceil(x)}) for k, x in enumerate(place[c])]
     sure = []
-    for b in _narrowed(df, values, todo, few, accuracy):
+    for b in _narrowed(rows, values, todo, few, accuracy):
         missed = {r for r in b.ranks if not b.below <= r < b.below + b.inside}
         if missed:  # beyond what the approximation promises: the whole column is narrowed for these
             r = first[columns[b.column]]
-            sure += _narrowed(df, values, [_Bracket(b.column, r.lo, r.hi, missed)], few, accuracy)
+            sure += _narrowed(rows, values, [_Bracket(b.column, r.lo, r.hi, missed)], few, accuracy)
             b.ranks -= missed
         sure.append(b)
     ready += sure
@@ -221,8 +223,8 @@ def _quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[fl
     open_ = [b for b in ready if b.lo < b.hi]
     if open_:
         hit = reduce(lambda a, b: a | b, (b.holds(values[b.column]) for b in open_))
-        rows = F.array(*(F.struct(F.lit(k).alias("k"), F.when(b.holds(values[b.column]), values[b.column]).alias("v")) for k, b in enumerate(open_)))
-        counted = df.where(hit).select(F.inline(rows)).where("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+        parts = F.array(*(F.struct(F.lit(k).alias("k"), F.when(b.holds(values[b.column]), values[b.column]).alias("v")) for k, b in enumerate(open_)))
+        counted = rows.where(hit).select(F.inline(parts)).where("v is not null").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
         homes = df.sparkSession.createDataFrame([(k, b.below, sorted(b.ranks)) for k, b in enumerate(open_)], "k int, below bigint, ranks array<bigint>")
         upto = F.sum("n").over(Window.partitionBy("k").orderBy("v"))
         last = counted.join(F.broadcast(homes), "k").withColumn("last", F.col("below") + upto - 1)
