@@ -1,28 +1,27 @@
-"""Near-duplicate documents by ProbMinHash, banding and verification.
-
-1. Equal texts are folded into one node, by 128 bits of their SHA-256. Nodes are numbered in the order of their copies (most first), then digests.
-2. Shingles are word triples of the lower-cased text, weighted by how often they occur. Each element sends arrivals of a Poisson process at the
-   rate of its weight to random registers; the earliest arrival owns a register, and an element stops as soon as its next arrival is later than
-   every register's (ProbMinHash1). Two texts then agree in a register with the probability Jaccard of their weights.
-3. Bands of registers are hashed into buckets. In a bucket every text is paired with its first only: a star, not all pairs, so a bucket may hold any
-   share of the rows. Counting per bucket is combined before the shuffle; the join back is split by AQE where a bucket is hot.
-4. Pairs are verified by the exact probability Jaccard of their shingles, which are worked out once. A text that passes is a member of that first; texts of a bucket that are nobody's
-   member become firsts themselves in further rounds, 1, 8, 64, ... of them at a time, and are held against all texts of the bucket. So every text meets every representative
-   that it shares a bucket with; two members aren't paired with one another. A bucket of n texts that are like one another takes few rounds and about n pairs a round; only texts of a bucket that
-   are all unlike one another are all compared.
+"""Near-duplicate documents: an exact similarity join on shared shingles, with verification.
+
+1. Equal texts are folded into one node, by 128 bits of their SHA-256.
+2. Shingles are word triples of the lower-cased text, weighted by how often they occur. The likeness of two texts is the probability Jaccard J of their weights.
+3. Shingles have one order for all texts: those that are common in a sample come last, the commonest at the very end, others by their hash. The sample steers the effort, not the result.
+   If A and B are the shares of two texts' weights that lie on the shingles they have in common, J <= f(A, B) = 1 / (1/A + 1/B - 1), as x y / (y + (1 - B) x) is concave. At a shingle in common, before
+   which the texts have shares u and v of their weights, the rest gives f(1 - u, 1 - v) at most, and less at each further one. Texts meet at their shingles in common as long as f(1 - u, 1 - v)
+   is `_SLACK` times the threshold at least; so u and v are at most 1 - `_SLACK` times the threshold, and only the shingles up to there travel. What two texts have in common without meeting
+   there gives less than `_SLACK` times the threshold, and f grows by no more than A and B do. So the weights, of both texts, on the shingles where two texts of J >= threshold meet add up to at least
+   (1 - `_SLACK`) times the threshold; pairs that reach this are candidates. No link can be missed: there is no draw and no cap, and shares are rounded so that they let more through.
+4. Candidates are verified by the exact probability Jaccard of their shingles, which are worked out once. A pair is sent to a group by the least candidate of its lesser node, and groups beyond
+   `_BLOCK` bytes of shingles are cut into pairs of blocks, so that the shingles of a cluster travel together, about once, and a task holds two blocks at most.
 5. Links are closed to classes by label propagation with pointer jumping; each round is written to the shared folder.
 
-Result: one row per row of docs: id, class_id (the least id of its class; its own if alone), n_links (verified links of its text to different texts: of a
-representative all in its buckets, of a member those to representatives), n_copies (rows with this very text). `links` gives the links themselves.
+Result: one row per row of docs: id, class_id (the least id of its class; its own if alone), n_links (links of its text to different texts, all of them), n_copies (rows with this very
+text). `links` gives the links themselves. n different texts that are all alike have n (n - 1) / 2 links, and cost that many verifications.
 
 Edge cases: null counts as the empty text; texts without a word have no shingles and only equal ones share a class; texts of one or two words have one
 shingle. Repeated rows are copies. Rows are known by their texts: they may share an id, or have none, and a class without any id has none itself. An empty table gives an empty
-result. Other columns aren't read. Texts are read whole, shingles are counted without a bound, and buckets have no cap.
+result. Other columns aren't read. Texts are read whole, shingles are counted without a bound. The threshold must be above 0.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Memo, discard, documents, map_batches, materialize, slices, small_enough, texts_of, two_columns
 
@@ -42,16 +40,21 @@ _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np
 
 @dataclass(frozen=True)
 class NearDedup:
-    """words: words in a shingle. bands of rows registers each. threshold: least probability Jaccard of a link. broadcast_rows: up to so many digests of candidates
-    are sent to all executors to pick their texts; beyond that the texts are joined by a shuffle, once."""
+    """words: words in a shingle. threshold: least probability Jaccard of a link. broadcast_rows: up to so many digests of texts are sent to all executors to pick the texts; beyond
+    that the texts are joined by a shuffle, once. sample: one text in so many tells which shingles are common, common: the most shingles that are listed as such; both only steer the effort."""
 
     words: int = 3
-    bands: int = 60
-    rows: int = 4
     threshold: float = 0.45
     broadcast_rows: int = 500_000
+    sample: int = 8
+    common: int = 1_000_000
 
 
+#: The part of the threshold down to which meetings count.
+_SLACK = 0.75
+#: Bytes of shingles that a block of texts has at most, about, and weights that a part of the shingles has, about.
+_BLOCK, _PART = 16 << 20, 1 << 20
+
 _HASH = Memo(xxhash.xxh3_64_intdigest)
 
 
@@ -114,35 +117,69 @@ def prob_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return float((1 / ((only_a + a_until) / p + (only_b + b_after) / q)).sum())
 
 
-def band_keys(owners: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per band: a hash of its registers and its number."""
-    key = np.broadcast_to(_mix(np.arange(1, bands + 1, dtype=np.uint64) * _C1), (len(owners), bands))
-    parts = owners.reshape(len(owners), bands, rows)
-    for i in range(rows):
-        key = _mix(key * _C1 + parts[:, :, i])
-    return key.view(np.int64)
+def prefixes(found: list[tuple[np.ndarray, np.ndarray]], common: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """The first shingles of several texts (none empty), as long as they can be met at: number of the text, hash, the share of the text's weight before it in 255ths, rounded down, and its own
+    share in 65535ths, rounded up. common: hashes of common shingles, ascending; rank: their places in the order, from 1."""
+    sizes = np.array([len(h) for h, _ in found])
+    h, c = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    of = np.repeat(np.arange(len(found)), sizes)
+    place = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.searchsorted(common, h)
+        at[at == len(common)] = 0
+        place = np.where(common[at] == h, rank[at], 0)
+    order = np.argsort((of << 32) | place, kind="stable")  # of one place the hashes ascend already
+    h, c = h[order], c[order]
+    before = np.cumsum(c) - c
+    total = np.bincount(of, c)[of]
+    share = (before - before[np.cumsum(sizes) - sizes][of]) / total
+    first = share <= 1 - _SLACK * threshold + 1e-9
+    return of[first], h[first], np.minimum(share[first] * 255, 255).astype(np.uint8), np.minimum(np.ceil(c[first] / total[first] * 65535), 65535).astype(np.uint16)
+
+
+def meetings(token: np.ndarray, share: np.ndarray, weight: np.ndarray, node: np.ndarray, threshold: float, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (a, b), a < b, of nodes that meet at tokens, with the sum of their weights there; about `most` meetings at a time, and sums of these."""
+    order = np.argsort(token, kind="stable")
+    token, share, weight, node = token[order], share[order], weight[order], node[order]
+    again = token[1:] == token[:-1]
+    shared = np.append(False, again) | np.append(again, False)
+    if not shared.any():
+        return
+    token, share, weight, (nodes, at) = token[shared], share[shared].astype(np.int64), weight[shared].astype(np.int64), np.unique(node[shared], return_inverse=True)
+    order = np.lexsort((at, share, token))
+    token, share, weight, at = token[order], share[order], weight[order], at[order]
+    new = np.append(True, token[1:] != token[:-1])
+    once = new | np.append(True, (at[1:] != at[:-1]) | (share[1:] != share[:-1]))  # rows that are copies bring their text more than once
+    weight = np.add.reduceat(weight, np.flatnonzero(once))
+    new, share, at = new[once], share[once], at[once]
+    group = np.cumsum(new) - 1
+    start = np.flatnonzero(new)[group]
+    # with u before it, the other may have v: 1 / (1 - v) <= 1 + 1 / lowest - 1 / (1 - u)
+    rest = np.maximum(1 - np.arange(256) / 255, 1e-9)
+    limit = np.floor((1 - 1 / np.maximum(1 + 1 / (_SLACK * threshold) - 1 / rest, 1) + 1e-9) * 255).astype(np.int64)
+    partners = np.minimum(np.searchsorted(group * 256 + share, group * 256 + limit[share], "right"), np.arange(len(at))) - start
+    until = np.cumsum(partners)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(until, (until[i - 1] if i else 0) + most, "right")))
+        k = partners[i:j]
+        x = np.repeat(np.arange(i, j), k)
+        y = start[x] + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+        pair, both = np.minimum(at[x], at[y]) * len(nodes) + np.maximum(at[x], at[y]), weight[x] + weight[y]
+        order = np.argsort(pair)
+        pair, both = pair[order], both[order]
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+        if len(first):
+            pair, both = pair[first], np.add.reduceat(both, first)
+            real = pair // len(nodes) != pair % len(nodes)  # two shingles of a text may have one token
+            yield nodes[pair[real] // len(nodes)], nodes[pair[real] % len(nodes)], both[real]
+        i = j
 
 
 def _key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
-def _signed(source: DataFrame, p: NearDedup) -> DataFrame:
-    """id, key (of the text) and band keys of every row."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, "text", 2 << 20):
-            texts = texts_of(part, "text")
-            found = [shingles(t, p.words) for t in texts]
-            keys = band_keys(prob_minhash([f[0] for f in found], [f[1] for f in found], p.bands * p.rows), p.bands, p.rows)
-            full = np.array([len(f[0]) > 0 for f in found], bool)
-            offsets = np.concatenate([[0], np.cumsum(np.where(full, p.bands, 0))]).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary()), bands], names=["id", "key", "bands"])
-
-    return map_batches(source, run, f"id {dict(source.dtypes)['id']}, key binary, bands array<bigint>")
-
-
 def packed(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     """Shingles as bytes: hashes, then counts."""
     return hashes.tobytes() + counts.astype(np.float64).tobytes()
@@ -153,41 +190,104 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.float64, n, 8 * n)
 
 
-def _features(source: DataFrame, wanted: DataFrame, p: NearDedup) -> DataFrame:
-    """node and shingles f of the wanted nodes (node, key, tid), in the shared folder. Of the copies of a text only those with its least id are looked at."""
+def _picked(source: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """node and text of the wanted nodes (node, key, tid). Of the copies of a text only those with its least id are looked at; repeated rows give their node more than once."""
     wanted = wanted.select("node", F.col("key").alias("_key"), "tid")
-    wanted = F.broadcast(wanted) if small_enough(wanted, p.broadcast_rows) else wanted
-    picked = source.withColumn("key", _key(F.col("text"))).join(wanted, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("tid"))).select("node", "text")
+    wanted = F.broadcast(wanted) if few else wanted
+    return source.withColumn("key", _key(F.col("text"))).join(wanted, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("tid"))).select("node", "text")
+
+
+def _common(texts: DataFrame, p: NearDedup) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the shingles that occur in two texts of the sample or more, the most frequent `common` of them at most; and their places, the rarest first."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([packed(*shingles(t, p.words)) for t in texts_of(part, "text")], pa.binary())], names=["node", "f"])
+            h = [shingles(t, p.words)[0] for t in texts_of(part, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
+
+    counts = materialize(map_batches(texts, run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-common")
+    least, held = 2, 0
+    for r in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        held += r["count"]
+        if held > p.common:
+            least = r["n"] + 1
+            break
+    found = counts.where(F.col("n") >= least).toArrow()
+    discard(counts)
+    h, n = found.column("h").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy()
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, n))] = np.arange(1, len(h) + 1)
+    order = np.argsort(h)
+    return h[order], rank[order]
+
+
+def _candidates(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], parts: int, p: NearDedup) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, that can be links, in the shared folder. The first shingles of the texts travel by `parts` of the shingles, known there by 32 bits of their hashes."""
+    known = texts.sparkSession.sparkContext.broadcast(common)
 
-    return materialize(map_batches(picked, run, "node bigint, f binary").dropDuplicates(["node"]), "near-features")
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batch, "text", 4 << 20):
+            found = [shingles(t, p.words) for t in texts_of(piece, "text")]
+            full = [k for k, f in enumerate(found) if len(f[0])]
+            if not full:
+                continue
+            of, h, share, weight = prefixes([found[k] for k in full], *known.value, p.threshold)
+            node = piece.column("node").to_numpy()[full][of]
+            part = (h % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, token, share, weight, node = part[order], (h[order] >> np.uint64(32)).astype(np.uint32), share[order], weight[order], node[order]
+            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+            blobs = [b"".join(x[i:j].tobytes() for x in (token, node, weight, share)) for i, j in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                n = len(blob) // 15
+                found.append([np.frombuffer(blob, kind, n, at * n) for kind, at in ((np.uint32, 0), (np.uint8, 14), (np.uint16, 12), (np.int64, 4))])
+        for columns in meetings(*map(np.concatenate, zip(*found)), p.threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "w"])
+
+    met = map_batches(texts, run, "part int, blob binary").groupBy("part").applyInArrow(match, "a bigint, b bigint, w bigint")
+    pairs = met.groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= int((1 - _SLACK) * p.threshold * 65535)).select("a", "b")
+    return materialize(pairs, "near-candidates")
+
+
+def _features(texts: DataFrame, p: NearDedup) -> DataFrame:
+    """node, shingles f and their bytes, in the shared folder."""
 
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch, "text"):
+            f = [packed(*shingles(t, p.words)) for t in texts_of(part, "text")]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(f, pa.binary()), pa.array([len(x) for x in f], pa.int64())], names=["node", "f", "size"])
 
-def _verified(pairs: DataFrame, features: DataFrame, few: bool) -> DataFrame:
-    """pairs (a, b) with their probability Jaccard jp, in the shared folder."""
+    return materialize(map_batches(texts, run, "node bigint, f binary, size bigint").dropDuplicates(["node"]), "near-features")
 
-    def of(end: str) -> DataFrame:
-        """Shingles of the nodes at one end of the pairs; those of others don't travel if the pairs are few enough to be sent to all."""
-        nodes = pairs.select(F.col(end).alias("_node")).distinct()
-        picked = features.join(F.broadcast(nodes), F.col("node") == F.col("_node"), "left_semi") if few else features
-        return picked.select(F.col("node").alias(end), F.col("f").alias(f"f{end}"))
 
-    left, right = of("a"), of("b")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "fa", "fb")
+def _verified(pairs: DataFrame, features: DataFrame, p: NearDedup) -> DataFrame:
+    """Those of the pairs (a, b) that meet the threshold, with their probability Jaccard jp, in the shared folder."""
+    sizes = features.select("node", "size")
+    groups = 1 + (sizes.agg(F.sum("size")).first()[0] or 0) // (_BLOCK // 2)
+    # the lesser node's least candidate, or itself, names the group; nearly all pairs of a cluster get one name
+    least = pairs.groupBy("b").agg(F.min("a").alias("home")).select(F.col("b").alias("a"), "home")
+    homes = materialize(pairs.join(least, "a", "left").select("a", "b", F.coalesce("home", "a").alias("home")), "near-homes")
+    ends = lambda df, *by: df.select(*by, F.explode(F.array("a", "b")).alias("node")).distinct()
+    blocks = ends(homes, "home").join(sizes, "node").groupBy("home").agg(F.ceil(F.sum("size") / _BLOCK).alias("n"))
+    block = lambda x: F.pmod(F.xxhash64(x), F.col("n"))
+    routed = materialize(homes.join(blocks, "home").select("a", "b", F.pmod(F.xxhash64("home", block("a"), block("b")), F.lit(groups)).alias("g")), "near-routed")
+    sent = ends(routed, "g").select(F.col("g").alias("to"), "node").join(features.select("node", "f"), "node")
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        known: dict[int, tuple] = {}
-        score = []
-        for a, fa, fb in zip(batch.column("a").to_pylist(), batch.column("fa"), batch.column("fb")):
-            if a not in known:
-                known = {a: unpacked(fa.as_py())}
-            score.append(prob_jaccard(known[a], unpacked(fb.as_py())))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score, pa.float64())], names=["a", "b", "jp"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = {n: unpacked(f) for n, f in zip(right.column("node").to_pylist(), right.column("f").to_pylist())}
+        a, b = left.column("a"), left.column("b")
+        jp = np.array([prob_jaccard(known[x], known[y]) for x, y in zip(a.to_pylist(), b.to_pylist())], np.float64)
+        return pa.table({"a": a, "b": b, "jp": jp}).filter(pa.array(jp >= p.threshold))
 
-    return materialize(map_batches(both, run, "a bigint, b bigint, jp double"), "near-pairs")
+    found = materialize(routed.groupBy("g").cogroup(sent.groupBy("to")).applyInArrow(run, "a bigint, b bigint, jp double"), "near-pairs")
+    discard(homes)
+    discard(routed)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -207,46 +307,34 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _links(source: DataFrame, distinct: DataFrame, p: NearDedup) -> DataFrame:
-    """Verified links (a, b, jp) of nodes, a < b."""
-    member = distinct.select("node", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    inside = materialize(member.join(shared, "bucket"), "near-buckets")
-    features = _features(source, distinct.join(inside.select("node").distinct(), "node", "left_semi"), p)
-    heads = materialize(inside.groupBy("bucket").agg(F.min("node").alias("head")), "near-heads")
-    seen = used = None
-    many = 8
-    while True:
-        pairs = inside.join(heads, "bucket").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        pairs = materialize(pairs if seen is None else pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "near-round")
-        n = pairs.count()
-        if n:
-            found = _verified(pairs, features, n <= p.broadcast_rows)
-            seen = found if seen is None else seen.union(found)
-        discard(pairs)
-        if seen is None:
-            return distinct.sparkSession.createDataFrame([], "a bigint, b bigint, jp double")
-        used = heads if used is None else used.union(heads)
-        # in a bucket of two all pairs are seen; in others, who is nobody's member and hasn't been a first there
-        attached = seen.where(F.col("jp") >= p.threshold).select(F.col("b").alias("node")).distinct()
-        rest = inside.where("n > 2").join(attached, "node", "left_anti").join(used.withColumnRenamed("head", "node"), ["bucket", "node"], "left_anti")
-        ranked = rest.select("bucket", F.col("node").alias("head"), F.row_number().over(Window.partitionBy("bucket").orderBy("node")).alias("k"))
-        heads = materialize(ranked.where(F.col("k") <= many).select("bucket", "head"), "near-heads")
-        if heads.isEmpty():
-            return seen.where(F.col("jp") >= p.threshold)
-        smaller = materialize(inside.join(heads.select("bucket").distinct(), "bucket", "left_semi"), "near-buckets")
-        discard(inside)
-        inside = smaller
-        many *= 8
+    """All links (a, b, jp) of nodes, a < b: the pairs of different texts that meet the threshold."""
+    few = small_enough(distinct, p.broadcast_rows)
+    texts = _picked(source, distinct, few)
+    if not few:
+        texts = materialize(texts, "near-texts")
+    sampled = F.col("node") % p.sample == 0
+    some = distinct.where(sampled)
+    common = _common(_picked(source, some, True) if few else texts.where(sampled), p)
+    parts = 1 + (distinct.agg(F.sum("size")).first()[0] or 0) // (12 * _PART)
+    pairs = _candidates(texts, common, int(parts), p)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if few:
+        features = _features(_picked(source, distinct.join(ends, "node", "left_semi"), True), p)
+    else:
+        features = _features(texts.join(F.broadcast(ends) if small_enough(ends, p.broadcast_rows) else ends, "node", "left_semi"), p)
+        discard(texts)
+    found = _verified(pairs, features, p)
+    discard(pairs)
+    discard(features)
+    return found
 
 
 def _nodes(source: DataFrame, p: NearDedup) -> tuple[DataFrame, DataFrame]:
-    """(id, key) of every row; and every different text: node, key, tid (its least id), n_copies and bands."""
-    signed = materialize(_signed(source, p), "near-signed")
-    texts = signed.groupBy("key").agg(F.min("id").alias("tid"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"))
-    # the texts with most copies come first, so that they become the firsts of their buckets; ids are given as the table is written, and stay
-    order = [F.desc("n_copies"), F.asc("key")]
-    numbered = texts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id())
-    return signed.select("id", "key"), materialize(numbered, "near-distinct")
+    """(id, key) of every row; and every different text: node, key, tid (its least id), n_copies and size (characters)."""
+    signed = materialize(source.select("id", _key(F.col("text")).alias("key"), F.length("text").alias("size")), "near-signed")
+    texts = signed.groupBy("key").agg(F.min("id").alias("tid"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"))
+    # node numbers are given as the table is written, and stay
+    return signed.select("id", "key"), materialize(texts.withColumn("node", F.monotonically_increasing_id()), "near-distinct")
 
 
 def _classes(source: DataFrame, p: NearDedup) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +342,7 @@ def _classes(source: DataFrame, p: NearDedup) -> tuple[DataFrame, DataFrame]:
     rows, distinct = _nodes(source, p)
     links = _links(source, distinct, p)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    texts = materialize(distinct.drop("bands").join(components(links), "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-labelled")
+    texts = materialize(distinct.drop("size").join(components(links), "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-labelled")
     # a class is known by its least id; of texts with that id the least digest stands for it, and of classes without ids the least digest alone
     first = F.min(F.struct(F.col("tid").isNull().alias("no"), "tid", "key")).alias("first")
     of_class = texts.groupBy("label").agg(first).select("label", F.col("first.tid").alias("class_id"), F.col("first.key").alias("least"))
@@ -263,7 +351,7 @@ def _classes(source: DataFrame, p: NearDedup) -> tuple[DataFrame, DataFrame]:
 
 
 def links(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, likeness): the verified links, each text named by the least id that has it."""
+    """(a, b, likeness): all links, each text named by the least id that has it."""
     source = two_columns(docs, id_col, text_col)
     _, distinct = _nodes(source, p)
     found = _links(source, distinct, p)

@@ -128,3 +128,63 @@ def test_rows_are_known_by_their_texts(spark, broadcast_rows):
     p = N.NearDedup(broadcast_rows=broadcast_rows)
     assert sorted(map(tuple, N.keep_one(docs, p).collect())) == [("1", a), ("2", b)]
     assert sorted(map(tuple, N.near_duplicates(docs, p).collect())) == [("1", "1", 0, 2), ("2", "1", 0, 2), ("2", "2", 0, 1)]
+
+
+def brute_links(rows, p):
+    """All pairs of different texts that meet the threshold, by their least ids."""
+    first = {}
+    for i, t in sorted(rows):
+        first.setdefault(t or "", i)
+    feats = {i: N.shingles(t, p.words) for t, i in first.items()}
+    found = {(i, j): N.prob_jaccard(feats[i], feats[j]) for i in feats for j in feats if i < j}
+    return {pair: jp for pair, jp in found.items() if jp >= p.threshold}
+
+
+@pytest.mark.parametrize("broadcast_rows, block", [(1_000_000, 16 << 20), (0, 20_000)])
+def test_no_link_is_left_out(spark, monkeypatch, broadcast_rows, block):
+    """Pairs just above the threshold, of texts of one length or of two, with shingles that repeat, and those between members of one class."""
+    monkeypatch.setattr(N, "_BLOCK", block, raising=False)
+    monkeypatch.setattr(N, "_PART", 200, raising=False)
+    rng = random.Random(8)
+    rows = []
+    for base in range(60):
+        words = [f"w{rng.randrange(300 if base % 2 else 30)}" for _ in range(rng.randrange(20, 120))]
+        for k in range(5):
+            other = list(words)
+            for _ in range(round(len(words) * rng.uniform(0.08, 0.16)) if k else 0):
+                other[rng.randrange(len(words))] = f"v{rng.randrange(10_000)}"
+            if k == 3:
+                other += other[: len(other) // 3] * 3
+            elif k == 4:
+                other = other[: len(other) * 2 // 3]
+            rows.append((5 * base + k, " ".join(other)))
+    rows += [(1000 + i, t) for i, t in rows[::7]]
+    p = N.NearDedup(broadcast_rows=broadcast_rows)
+    want = brute_links(rows, p)
+    assert sum(jp < 0.5 for jp in want.values()) > 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(min(r.a, r.b), max(r.a, r.b)): r.likeness for r in N.links(docs, p).collect()}
+    assert got == pytest.approx(want)
+    count = collections.Counter(x for pair in want for x in pair)
+    assert {r.doc_id: r.n_links for r in N.near_duplicates(docs, p).collect() if r.doc_id < 1000} == {i: count[i] for i, _ in rows if i < 1000}
+
+
+def test_meetings_keep_every_pair_that_meets_the_threshold():
+    """Whatever the order of shingles, in chunks of one meeting or many, and with tokens that clash and texts that come twice."""
+    rng = np.random.default_rng(9)
+    for threshold, most in ((0.1, 1), (0.45, 1), (0.45, 10**6), (0.9, 7), (1.0, 1)):
+        sets = []
+        for k in range(60):
+            h = np.sort(rng.choice(40, rng.integers(1, 30), replace=False)).astype(np.uint64)
+            sets.append((h, rng.integers(1, 5, len(h)).astype(float)) if k % 3 else sets[-1] if k else (h, np.ones(len(h))))
+        common = np.sort(rng.choice(40, 12, replace=False)).astype(np.uint64)
+        of, h, share, weight = N.prefixes(sets, common, rng.permutation(12) + 1, threshold)
+        columns = [np.tile(x, 2) for x in ((h % np.uint64(37)).astype(np.uint32), share, weight, of * 3 + 2**40)]
+        got = collections.Counter()
+        for found in N.meetings(*columns, threshold, most):
+            for a, b, w in zip(*(x.tolist() for x in found)):
+                got[(a - 2**40) // 3, (b - 2**40) // 3] += w
+        assert all(a < b for a, b in got)
+        got = {pair for pair, w in got.items() if w >= int((1 - N._SLACK) * threshold * 65535)}
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if N.prob_jaccard(sets[i], sets[j]) >= threshold - 1e-12}
+        assert want <= got and len(want) >= 10
