@@ -9,7 +9,7 @@
    there gives less than `_SLACK` times the threshold, and f grows by no more than A and B do. So the weights, of both texts, on the shingles where two texts of J >= threshold meet add up to at least
    (1 - `_SLACK`) times the threshold; pairs that reach this are candidates. No link can be missed: there is no draw and no cap, and shares are rounded so that they let more through.
 4. Candidates are verified by the exact probability Jaccard of their shingles, which are worked out once. A pair is sent to a group by the least candidate of its lesser node, and groups beyond
-   `_BLOCK` bytes of shingles are cut into pairs of blocks, so that the shingles of a cluster travel together, about once, and a task holds two blocks at most.
+   `_BLOCK` bytes of shingles or `_PAIRS` pairs are cut into pairs of blocks, so that the shingles of a cluster travel together, about once, and a task holds two blocks at most.
 5. Links are closed to classes by label propagation with pointer jumping; each round is written to the shared folder.
 
 Result: one row per row of docs: id, class_id (the least id of its class; its own if alone), n_links (links of its text to different texts, all of them), n_copies (rows with this very
@@ -52,8 +52,8 @@ class NearDedup:
 
 #: The part of the threshold down to which meetings count.
 _SLACK = 0.75
-#: Bytes of shingles that a block of texts has at most, about, and weights that a part of the shingles has, about.
-_BLOCK, _PART = 16 << 20, 1 << 20
+#: Bytes of shingles that a block of texts has at most, about, pairs that two blocks have, about, and weights that a part of the shingles has, about.
+_BLOCK, _PAIRS, _PART = 16 << 20, 100_000, 3 << 20
 
 _HASH = Memo(xxhash.xxh3_64_intdigest)
 
@@ -273,7 +273,9 @@ def _verified(pairs: DataFrame, features: DataFrame, p: NearDedup) -> DataFrame:
     least = pairs.groupBy("b").agg(F.min("a").alias("home")).select(F.col("b").alias("a"), "home")
     homes = materialize(pairs.join(least, "a", "left").select("a", "b", F.coalesce("home", "a").alias("home")), "near-homes")
     ends = lambda df, *by: df.select(*by, F.explode(F.array("a", "b")).alias("node")).distinct()
-    blocks = ends(homes, "home").join(sizes, "node").groupBy("home").agg(F.ceil(F.sum("size") / _BLOCK).alias("n"))
+    held = ends(homes, "home").join(sizes, "node").groupBy("home").agg(F.sum("size").alias("bytes"))
+    count = homes.groupBy("home").agg(F.count(F.lit(1)).alias("pairs"))
+    blocks = held.join(count, "home").select("home", F.greatest(F.ceil(F.col("bytes") / _BLOCK), F.ceil(F.sqrt(F.col("pairs") / _PAIRS))).alias("n"))
     block = lambda x: F.pmod(F.xxhash64(x), F.col("n"))
     routed = materialize(homes.join(blocks, "home").select("a", "b", F.pmod(F.xxhash64("home", block("a"), block("b")), F.lit(groups)).alias("g")), "near-routed")
     sent = ends(routed, "g").select(F.col("g").alias("to"), "node").join(features.select("node", "f"), "node")
@@ -292,7 +294,13 @@ def _verified(pairs: DataFrame, features: DataFrame, p: NearDedup) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node and label (the least node of its component) of every node in links (a, b)."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-links")
+    # each node hangs on its least neighbour; a link holds together what its ends hang on, which for most links of a cluster is one node
+    ends = links.select("a", "b").union(links.select("b", "a"))
+    least = materialize(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("head")), "near-heads")
+    head = lambda x: least.select(F.col("node").alias(x), F.col("head").alias(f"h{x}"))
+    few = links.join(head("a"), "a").join(head("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).where("a <> b")
+    few = few.union(least.where("node <> head").select("node", "head")).distinct()
+    both = materialize(few.union(few.select("b", "a")).distinct(), "near-links")
     now = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "near-labels")
     while True:
         labels = now.select("node", "label")

@@ -96,3 +96,21 @@ def test_nothing_is_left_behind(spark):
     before = set(os.listdir(folder))
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert [x.partition("-")[0] + "-" + x.split("-")[1] for x in set(os.listdir(folder)) - before] == ["pipeline-best_fit_packing"]
+
+
+def pairs_at_the_threshold(n=150, seed=6):
+    """Texts 2 k and 2 k + 1 are just alike enough to be near duplicates."""
+    rng, rows = random.Random(seed), []
+    while len(rows) < 2 * n:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        b = [w if rng.random() > 0.13 else f"v{rng.randrange(10**6)}" for w in a]
+        texts = [" ".join(x) for x in (a, b)]
+        if 0.45 <= near_dedup.prob_jaccard(*(near_dedup.shingles(t, 3) for t in texts)) < 0.48:
+            rows += [(len(rows) + k, t, "a", "en", len(t)) for k, t in enumerate(texts)]
+    return rows
+
+
+def test_near_duplicates_at_the_threshold_all_go(spark):
+    docs = spark.createDataFrame(pairs_at_the_threshold(), "doc_id long, text string, source string, lang string, n_chars long")
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(kept) == list(range(0, 300, 2))
