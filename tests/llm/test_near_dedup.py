@@ -188,3 +188,51 @@ def test_meetings_keep_every_pair_that_meets_the_threshold():
         got = {pair for pair, w in got.items() if w >= int((1 - N._SLACK) * threshold * 65535)}
         want = {(i, j) for i in range(60) for j in range(i + 1, 60) if N.prob_jaccard(sets[i], sets[j]) >= threshold - 1e-12}
         assert want <= got and len(want) >= 10
+
+
+def of_one_cluster(n, most):
+    """Texts of which nearly all are near copies of one, and some that are none or only of a few."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for k in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(1, most)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(10_000)}"
+        rows.append((k, " ".join(words)))
+    return rows + [(n + k, " ".join(f"u{rng.randrange(400)}" for _ in range(60))) for k in range(30)] + [(2 * n + k, t) for k, (_, t) in enumerate(rows[:9])]
+
+
+def test_intermediate_tables_grow_with_the_texts_not_with_the_links(spark, monkeypatch):
+    """400 near copies of one text have tens of thousands of links, which are counted without being written."""
+    written = {}
+
+    def counting(df, name, materialize=N.materialize):
+        out = materialize(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(N, "materialize", counting)
+    rows = of_one_cluster(400, 14)
+    p = N.NearDedup()
+    want = collections.Counter(x for pair in brute_links(rows, p) for x in pair)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in N.near_duplicates(docs, p).collect()}
+    assert sum(want.values()) // 2 > 30_000
+    assert {i: r.n_links for i, r in got.items() if i < 800} == {i: want[i] for i, _ in rows if i < 800}
+    assert {i: r.class_id for i, r in got.items()} == brute_classes(rows, p)
+    assert max(written.values()) < 10 * len(rows), written
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_clusters_in_blocks_lose_no_link(spark, monkeypatch, broadcast_rows):
+    """Several blocks of a cluster, clusters that are found in part only, and links between clusters."""
+    monkeypatch.setattr(N, "_TEXTS", 30, raising=False)
+    monkeypatch.setattr(N, "_SAMPLED", 60, raising=False)
+    rows = of_one_cluster(150, 24)
+    p = N.NearDedup(broadcast_rows=broadcast_rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_links(rows, p)
+    assert {(min(r.a, r.b), max(r.a, r.b)): r.likeness for r in N.links(docs, p).collect()} == pytest.approx(want)
+    count = collections.Counter(x for pair in want for x in pair)
+    assert {r.doc_id: r.n_links for r in N.near_duplicates(docs, p).collect() if r.doc_id < 300} == {i: count[i] for i, _ in rows if i < 300}
