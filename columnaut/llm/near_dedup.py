@@ -8,6 +8,7 @@
    is `_SLACK` times the threshold at least; so u and v are at most 1 - `_SLACK` times the threshold, and only the shingles up to there travel. What two texts have in common without meeting
    there gives less than `_SLACK` times the threshold, and f grows by no more than A and B do. So the weights, of both texts, on the shingles where two texts of J >= threshold meet add up to at least
    (1 - `_SLACK`) times the threshold; pairs that reach this are candidates. No link can be missed: there is no draw and no cap, and shares are rounded so that they let more through.
+   A task holds its part of the shingles compressed and matches it in turns, all texts with a shingle in one turn; only a turn is held as arrays.
 4. Large clusters are looked for in a sample, by the least shingles of texts. Texts near the middle of one are its members; all pairs of members are verified where their shingles lie, without
    being listed before, so that what travels doesn't grow with the square of a cluster. Pairs of other texts, or of members of different clusters, are left to 3. Which cluster a text belongs to is a
    function of the text, so each pair is looked at in one way or the other, whatever the sample.
@@ -60,6 +61,8 @@ class NearDedup:
 _SLACK = 0.75
 #: Bytes of shingles that a block of texts has at most, about, pairs that two blocks have, about, and weights that a part of the shingles has, about.
 _BLOCK, _PAIRS, _PART = 16 << 20, 100_000, 3 << 20
+#: First shingles of a part that are matched at a time, about, and meetings whose weights are added at a time; a worker holds the rest of the part compressed.
+_TURN = 1 << 19
 #: Texts of a cluster that a block has at most, about.
 _TEXTS = 2048
 #: Shingles of a text that its sketch has, texts that are searched for clusters, about, those that make a cluster, and clusters at most.
@@ -194,7 +197,7 @@ def nearest(sketches: list[np.ndarray], middles: list[np.ndarray], least: float)
     return np.where(part[np.arange(len(sizes)), best] >= least, best + 1, 0).astype(np.uint16)
 
 
-def meetings(token: np.ndarray, share: np.ndarray, weight: np.ndarray, node: np.ndarray, threshold: float, most: int = 1 << 21, cluster: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def meetings(token: np.ndarray, share: np.ndarray, weight: np.ndarray, node: np.ndarray, threshold: float, most: int = _TURN, cluster: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (a, b), a < b, of nodes that meet at tokens, with the sum of their weights there; about `most` meetings at a time, and sums of these. Pairs of one cluster (not 0) are left out."""
     cluster = np.zeros(len(token), np.uint16) if cluster is None else cluster
     order = np.lexsort((cluster, token))
@@ -263,11 +266,20 @@ def planes(columns: list[np.ndarray]) -> bytes:
     return pa.compress(b"".join(x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in columns), codec="zstd", asbytes=True)
 
 
-def unplaned(blob: bytes, n: int, kinds: list[type]) -> list[np.ndarray]:
-    """The columns of n values that `planes` was given."""
+def unplaned(blob: bytes, n: int, kinds: list[type], least: int = 0, below: int = 256) -> list[np.ndarray]:
+    """The columns of n values that `planes` was given; of these the rows whose first value ends in a byte from `least` to before `below`."""
     widths = [np.dtype(kind).itemsize for kind in kinds]
     raw = np.frombuffer(pa.decompress(blob, n * sum(widths), codec="zstd", asbytes=True), np.uint8).reshape(-1, n)
-    return [np.ascontiguousarray(raw[i - w : i].T).view(kind).reshape(n) for kind, w, i in zip(kinds, widths, np.cumsum(widths))]
+    if below - least < 256:
+        raw = np.take(raw, np.flatnonzero((raw[0] >= least) & (raw[0] < below)), axis=1)
+    return [np.ascontiguousarray(raw[i - w : i].T).view(kind).reshape(-1) for kind, w, i in zip(kinds, widths, np.cumsum(widths))]
+
+
+def turns(blobs: list[tuple[bytes, int]], kinds: list[type]) -> Iterator[list[np.ndarray]]:
+    """The columns of all blobs (of `planes`, with their lengths), in turns of about `_TURN` rows; rows of one first value come in one turn. Blobs stay compressed, and are read again for each turn."""
+    n = min(256, 1 + sum(n for _, n in blobs) // _TURN)
+    for i in range(n):
+        yield [np.concatenate(x) for x in zip(*(unplaned(*blob, kinds, 256 * i // n, 256 * (i + 1) // n) for blob in blobs))]
 
 
 def _picked(source: DataFrame, wanted: DataFrame, few: bool, *more: str) -> DataFrame:
@@ -355,9 +367,8 @@ def _candidates(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], middles
                     node, its = unplaned(blob, n, [np.int64, np.uint16])
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, -its.astype(np.int64), np.zeros(n, np.int64))], names=["a", "b", "w"])
                 else:
-                    found.append(unplaned(blob, n, kinds))
-        if found:
-            token, node, weight, share, cluster = map(np.concatenate, zip(*found))
+                    found.append((blob, n))
+        for token, node, weight, share, cluster in turns(found, kinds) if found else ():
             for columns in meetings(token, share, weight, node, p.threshold, cluster=cluster):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "w"])
 

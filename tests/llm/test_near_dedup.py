@@ -1,9 +1,12 @@
 import collections
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import GroupedData
 
 from columnaut.llm import near_dedup as N
 
@@ -190,6 +193,44 @@ def test_meetings_keep_every_pair_that_meets_the_threshold():
         assert want <= got and len(want) >= 10
 
 
+def test_shingles_of_a_part_are_matched_in_bounded_memory(spark, monkeypatch):
+    """A part of millions of shingles takes a few times the memory of what is matched at a time, and gives what it gives when matched at once."""
+    caught = []
+
+    def catching(self, fn, schema, run=GroupedData.applyInArrow):
+        caught.append(fn)
+        return run(self, fn, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", catching)
+    texts = spark.createDataFrame([(1, "a b c d"), (2, "a b c e")], "node long, text string")
+    N._candidates(texts, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 1, N.NearDedup())
+    rng = np.random.default_rng(10)
+    blobs, held = [], []
+    for k in range(40):
+        n = 60_000
+        token, node = rng.integers(0, 2**22, n).astype(np.uint32), np.sort(rng.integers(50 * k, 50 * k + 50, n))
+        columns = [token, node, rng.integers(1, 9, n).astype(np.uint16), rng.integers(0, 160, n).astype(np.uint8), (node % 50 == 0).astype(np.uint16)]
+        blobs.append((0, n, N.planes(columns)))
+        held.append(columns)
+    batch = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*blobs), (pa.int32(), pa.int32(), pa.binary()))], names=["part", "n", "blob"])
+    got, most = [], 0
+
+    def summed(found):
+        every = np.concatenate([a * 2000 + b for a, b, _ in found])
+        pairs, at = np.unique(every, return_inverse=True)
+        return pairs, np.bincount(at, np.concatenate([w for _, _, w in found]))
+
+    tracemalloc.start()
+    for found in caught[0](iter([batch])):
+        most = max(most, tracemalloc.get_traced_memory()[1] - sum(x.nbytes for y in got for x in y))
+        got.append([x.to_numpy() for x in found.columns])
+    tracemalloc.stop()
+    token, node, weight, share, cluster = map(np.concatenate, zip(*held))
+    want = summed(list(N.meetings(token, share, weight, node, 0.45, 10**9, cluster)))
+    assert all(np.array_equal(x, y) for x, y in zip(summed(got), want)) and len(want[0]) > 100_000
+    assert most < 100e6, most
+
+
 def of_one_cluster(n, most):
     """Texts of which nearly all are near copies of one, and some that are none or only of a few."""
     rng = random.Random(12)
